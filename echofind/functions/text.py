@@ -43,6 +43,10 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def strip_space(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def clean_text(text: Column, profile: str = "service") -> Column:
     """Decode entities, drop tags and links, collapse white space.
 
