@@ -30,10 +30,8 @@ def norm(v: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """Distance of two vector columns of one row, all in the JVM."""
-    norms = norm(a) * norm(b)
-    cosine = F.when(norms == 0, F.lit(float("nan"))).otherwise(dot(a, b) / norms)
-    distance = F.when(F.isnan(cosine), cosine).otherwise(F.least(F.greatest(1 - cosine, F.lit(0.0)), F.lit(2.0)))
-    return F.round(distance, 9)
+    cosine = F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(float("nan")))
+    return F.abs(F.round(1 - cosine, 9))
 
 
 def similarity(distance: Column) -> Column:
@@ -42,8 +40,9 @@ def similarity(distance: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy; a zero vector stays zero."""
-    length = norm(v)
-    return F.when(length == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / length))
+    # The length is zipped in: inside a lambda it would be summed anew for every value.
+    lengths = F.array_repeat(norm(v), F.size(v))
+    return F.zip_with(v, lengths, lambda x, length: F.when(length == 0, 0.0).otherwise(x.cast("double") / length))
 
 
 def dimension(v: Column) -> Column:

@@ -137,9 +137,14 @@ def mark_repeats(df: DataFrame, key: str, position: str, hot_rows: int = HOT_ROW
     )
 
 
-def unstored(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is NULL or not in the stored table."""
-    return df.join(stored.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
+def stored_keys(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The keys of ``df`` that the stored table has already.
+
+    The stored table is the left side and gives one column only: a batch that
+    Spark finds small enough is broadcast to it, and the table stays in place.
+    """
+    wanted = df.select(F.col(key).alias("_wanted")).filter(F.col("_wanted").isNotNull())
+    return stored.select(key).join(wanted, F.col(key) == F.col("_wanted"), "left_semi").distinct()
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

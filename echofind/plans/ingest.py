@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from echofind.functions.embed import Embedder, embed
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids
-from echofind.operators.validate import mark_repeats, report_reason, split, unstored
+from echofind.operators.validate import mark_repeats, report_reason, split, stored_keys
 from echofind.schemas import BUG_REPORTS, DIMENSION
 from echofind.session import materialize, spread
 from echofind.sources import csv, jsonl, tables
@@ -34,13 +34,14 @@ def accept_reports(upload: DataFrame, stored: DataFrame) -> tuple[DataFrame, Dat
     )
     rows = materialize(service_columns(positioned), "upload")
     valid, invalid = split(rows, report_reason())
-    marked = materialize(mark_repeats(valid, "external_id", "position"), "marked")
-    first = marked.filter(~F.col("is_repeat")).drop("is_repeat")
-    fresh = unstored(first, stored, "external_id")
-    known = first.join(fresh.select("position"), "position", "left_anti")
-    repeats = marked.filter("is_repeat").drop("is_repeat")
-    not_unique = repeats.unionByName(known).withColumn("reason", F.lit(NOT_UNIQUE))
-    return fresh, invalid.unionByName(not_unique)
+    # Uniqueness is judged on positions and keys only; whole rows are not shuffled for it.
+    keys = mark_repeats(valid.select("position", "external_id"), "external_id", "position")
+    keys = materialize(keys.filter("external_id IS NOT NULL"), "keys")
+    known = stored_keys(keys, stored, "external_id")
+    repeated = keys.filter("is_repeat").select("position").union(keys.join(known, "external_id").select("position"))
+    repeated = materialize(repeated.distinct(), "repeated")
+    not_unique = valid.join(repeated, "position", "left_semi").withColumn("reason", F.lit(NOT_UNIQUE))
+    return valid.join(repeated, "position", "left_anti"), invalid.unionByName(not_unique)
 
 
 def load_reports(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("echofind")
         .config("spark.ui.enabled", "false")
@@ -22,6 +24,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Not needed where the package is installed on the cluster or was passed
+    with ``--py-files``. The driver packs the archive; Spark hands it out.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="echofind-"), "echofind")
+    root, name = os.path.split(package)
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _shipped.add(application)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

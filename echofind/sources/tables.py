@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +29,8 @@ def create_table(spark: SparkSession, path: str, schema: T.StructType = BUG_REPO
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("x int").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType = BUG_REPORTS) -> DataFrame:
