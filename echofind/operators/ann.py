@@ -84,15 +84,29 @@ def train_ivf(reports: DataFrame, lists: int = LISTS, iterations: int = 2, fract
     trains on a sample; every row is assigned in any case.
     """
     vectors = reports.select("id", "embedding")
-    ordered = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(lists * SEED_OVERSAMPLING)
-    seeds = _distinct_rows(matrix(ordered.select("embedding").toArrow()["embedding"]))[:lists]
-    index = IvfIndex(unit_rows(seeds))
+    index = IvfIndex(unit_rows(_seeds(vectors, lists)))
     training = vectors.sample(fraction, seed=0) if fraction else vectors
     for _ in range(iterations):
         index = IvfIndex(_new_centroids(training.select("embedding"), index))
     return index
 
 
+def _seeds(vectors: DataFrame, lists: int) -> np.ndarray:
+    """The first distinct vectors in md5 order of the ids, at most ``lists``.
+
+    Reads a few times as many rows as needed; more while copies crowd out the
+    rest, up to the size an index may have.
+    """
+    ordered = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").select("embedding")
+    rows = lists * SEED_OVERSAMPLING
+    while True:
+        head = matrix(ordered.limit(rows).toArrow()["embedding"])
+        seeds = _distinct_rows(head[head.any(axis=1)])[:lists]
+        if len(seeds) == lists or len(head) < rows or head.nbytes * 2 > INDEX_BYTES:
+            return seeds
+        rows *= 2
+
+
 def _new_centroids(vectors: DataFrame, index: IvfIndex) -> np.ndarray:
     shared = _share(index)
     shape = index.centroids.shape

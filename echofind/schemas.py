@@ -52,7 +52,8 @@ CLEAN_REPORT = T.StructType(
     [T.StructField("bug_id", T.LongType())]
     + [T.StructField(n, T.StringType()) for n in RAW_COLUMNS[1:] + ("embedding_text",)]
 )
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+# Values are never NULL: rows that hold one are rejected before they are stored.
+VECTOR = T.ArrayType(T.FloatType())
 
 BUG_REPORTS = T.StructType(
     [
