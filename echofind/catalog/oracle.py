@@ -189,6 +189,10 @@ ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 10""",
     "knn_hybrid_filter": f"""WITH {VECTORS}
 SELECT r.id, r.label, round({_dist('q.v', 'r.v')}, 5) AS distance FROM vectors q JOIN vectors r ON q.id = 0 AND r.label = 3
 ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 5""",
+    "hybrid_two_filters": f"""WITH {DOCUMENTS}
+SELECT r.id, c.lang AS product, c.source AS component, round({_dist('q.v', 'r.v')}, 5) AS distance
+FROM doc_vectors q JOIN doc_vectors r ON q.id = 0 JOIN cleaned c ON c.id = r.id AND c.lang = 'en' AND c.source = 'src3'
+ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 10""",
     "search_exclude_self": f"""WITH {VECTORS}
 SELECT t.query_id, t.rank, t.id, label::VARCHAR AS product, round(1 - d, 5) AS similarity FROM
 {_top(f"SELECT q.id AS query_id, r.id, {_dist('q.v', 'r.v')} AS d FROM vectors q JOIN vectors r ON (q.id <> r.id OR q.id = 0) AND (q.label >= 5 OR q.label = r.label)", 10)} t

@@ -102,6 +102,16 @@ def knn_hybrid_filter(spark, sf_dir):
     return found.select("id", "label", F.round("distance", 5).alias("distance"))
 
 
+def hybrid_two_filters(spark, sf_dir):
+    """Two equality filters, then the nearest to the first document."""
+    reports = _documents(spark, sf_dir)
+    vector = reports.filter("id = 0").select("embedding").first().embedding
+    found = search.hybrid_search(
+        reports, vector, {"product": "en", "component": "src3"}, K, allowed=("product", "component"), dim=DIMENSION
+    )
+    return found.select("id", "product", "component", F.round("distance", 5).alias("distance"))
+
+
 def search_exclude_self(spark, sf_dir):
     label = F.col("label").cast("string")
     reports = _vectors(spark, sf_dir).withColumn("product", label)
@@ -476,7 +486,7 @@ def stream_upsert(spark, sf_dir):
 ALL = {
     f.__name__: f
     for f in (
-        knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, search_exclude_self, text_search,
+        knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_candidates, lsh_search,
         duplicate_pairs, duplicate_reports,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,

@@ -33,6 +33,7 @@ BITS = 8
 FLIPS = 2
 SEED_OVERSAMPLING = 8
 INDEX_BYTES = 64 * 1024 * 1024
+MOST_BUCKETS = 1 << 20
 
 _KEYS = T.ArrayType(T.LongType(), containsNull=False)
 
@@ -191,6 +192,10 @@ class LshIndex:
     tables: int = TABLES
     bits: int = BITS
 
+    def __post_init__(self):
+        if self.tables << self.bits > MOST_BUCKETS:
+            raise ValueError("too many buckets: fewer tables or bits, please")
+
     def planes(self) -> np.ndarray:
         """One +1/-1 normal per table and bit, the same in every session."""
         names = (f"{t}:{b}:{d}" for t in range(self.tables) for b in range(self.bits) for d in range(self.dim))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echofind.session import broadcast_if_small, materialize
+
+_ACCURACY = 100_000  # rank error of the sketch: 1 / 100,000 of the rows
+_BRACKET = 3 / _ACCURACY
+_MOST_GROUPS = 1_000_000
+
 CUTOFFS = (1, 5, 10)
 MIN_DEPTH = 10
 
@@ -50,17 +56,53 @@ def true_recall(per_query: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> Dat
     )
 
 
-def latency_summary(log: DataFrame, latency: str, *groups: str, approximate: bool = False) -> DataFrame:
-    """Count, mean and 95th percentile of a latency column.
+def latency_summary(log: DataFrame, latency: str, *groups: str, p: float = 0.95) -> DataFrame:
+    """Count, mean and 95th percentile (interpolated, exact) of a latency column."""
+    tails = percentile(log, latency, p, *groups).withColumnRenamed("percentile", "p95_latency_ms")
+    return tails.select(
+        *groups,
+        F.col("rows").alias("queries_evaluated"),
+        F.col("mean").alias("average_latency_ms"),
+        "p95_latency_ms",
+    )
+
+
+def percentile(df: DataFrame, value: str, p: float, *groups: str) -> DataFrame:
+    """(groups, rows, mean, percentile) without holding the values of a group together.
 
-    The exact percentile keeps one counter per distinct value and group; for
-    very large logs ``approximate`` keeps a sketch of fixed size instead.
+    A sketch first brackets the percentile of each group between two values
+    closely around it. A second pass counts what lies below the bracket and
+    the distinct values within, a tiny share of the rows; only those are put
+    in order.
     """
-    p95 = F.percentile_approx(latency, 0.95, 10_000) if approximate else F.percentile(latency, 0.95)
-    return log.groupBy(*groups).agg(
-        F.count("*").alias("queries_evaluated"),
-        F.avg(latency).alias("average_latency_ms"),
-        p95.alias("p95_latency_ms"),
+    values = df.select(F.struct(F.lit(0), *groups).alias("_group"), F.col(value).cast("double").alias("_x"))
+    values = values.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    ends = F.array(F.lit(max(p - _BRACKET, 0.0)), F.lit(min(p + _BRACKET, 1.0)))
+    brackets = values.groupBy("_group").agg(
+        F.count("*").alias("rows"), F.avg("_x").alias("mean"), F.percentile_approx("_x", ends, _ACCURACY).alias("_ends")
+    )
+    # A small group is ordered whole: there the next rank may lie outside the bracket.
+    everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+    small = F.col("rows") <= _ACCURACY
+    brackets = brackets.withColumn("_ends", F.when(small, everything).otherwise(F.col("_ends")))
+    brackets = materialize(brackets, "brackets")
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    # Values under the bracket count under one stand-in, so that they combine before the shuffle.
+    placed = values.join(broadcast_if_small(brackets.select("_group", "_ends"), _MOST_GROUPS), "_group")
+    placed = placed.withColumn("_at", F.when(F.col("_x") >= low, F.col("_x")).otherwise(F.lit(float("-inf"))))
+    counts = placed.filter(F.col("_x") <= high).groupBy("_group", "_at").agg(F.count("*").alias("_n"))
+    through = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at"))
+    ordered = counts.withColumn("_through", through).join(brackets.select("_group", "rows", "mean"), "_group")
+    place = (F.col("rows") - 1) * p
+    lower = F.min(F.when(F.col("_through") > F.floor(place), F.col("_at")))
+    upper = F.min(F.when(F.col("_through") > F.ceil(place), F.col("_at")))
+    found = ordered.groupBy("_group", "rows", "mean").agg(lower.alias("_lower"), upper.alias("_upper"))
+    share = place - F.floor(place)
+    return found.select(
+        *[F.col("_group")[g].alias(g) for g in groups],
+        "rows",
+        "mean",
+        (F.col("_lower") + share * (F.col("_upper") - F.col("_lower"))).alias("percentile"),
     )
 
 

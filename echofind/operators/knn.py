@@ -29,7 +29,8 @@ from echofind.session import materialize
 
 BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-CELL_ROWS = 20_000
+CELL_ROWS = 50_000
+TASKS_PER_CORE = 4
 
 
 def nearest(reports: DataFrame, vector: Sequence[float], k: int = 5, dim: int | None = None) -> DataFrame:
@@ -116,26 +117,28 @@ def _broadcast_hits(block: QueryBlock, reports: DataFrame, k: int, filters, keye
             score(queries, ReportBlock(batch, filters, keyed), best, keyed)
         yield best.to_batch(queries.ids)
 
-    return reports.mapInArrow(run, HITS)
+    # A task emits k rows per query however much it reads, so a huge scan goes
+    # into few long tasks: the hits to shuffle do not grow with the table.
+    most_tasks = TASKS_PER_CORE * reports.sparkSession.sparkContext.defaultParallelism
+    return reports.coalesce(most_tasks).mapInArrow(run, HITS)
 
 
 def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: bool, cell_rows: int) -> DataFrame:
     """Score cells of at most about ``cell_rows`` x ``cell_rows`` rows.
 
     A key with more rows is cut into chunks by hash of the id; each chunk of
-    queries meets each chunk of reports in a cell of its own. Of exact copies
-    of a vector only the k + 1 lowest ids can ever be among the best k (one id
-    may be excluded), so the rest of a group of copies goes no further.
+    queries meets each chunk of reports in a cell of its own.
 
-    Both sides are written once: they are counted before they are cut, and
-    their vectors are often computed on the fly.
+    With keys, a group of exact copies would sit in one list and meet itself.
+    Only its k + 1 lowest ids can ever be among the best k (one id may be
+    excluded), so the rest of the group goes no further. Keyed sides are
+    written once, as they are counted by key before they are cut.
     """
-    queries = materialize(queries, "queries")
-    reports = materialize(lowest_ids_per_vector(reports, k + 1, filters), "reports")
     if keyed:
-        queries = queries.withColumn("key", F.explode("keys")).drop("keys")
+        queries = materialize(queries, "queries").withColumn("key", F.explode("keys")).drop("keys")
+        reports = materialize(lowest_ids_per_vector(reports, k + 1, filters), "reports")
         reports = reports.withColumn("key", F.explode("keys")).drop("keys")
-        # Only keys with over cell_rows rows are listed: rows / cell_rows at most.
+        # At most one row per key, and IvfIndex and LshIndex bound the number of keys.
         hot = F.broadcast(_hot_keys(queries, reports, cell_rows))
         queries, reports = queries.join(hot, "key", "left"), reports.join(hot, "key", "left")
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from echofind.functions.embed import Embedder, embed
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids
-from echofind.operators.validate import mark_repeats, report_reason, split, stored_keys
-from echofind.schemas import BUG_REPORTS, DIMENSION
-from echofind.session import materialize, spread
+from echofind.operators.validate import check_vector, mark_repeats, report_reason, split, stored_keys
+from echofind.schemas import BUG_REPORTS, DIMENSION, UPLOAD_COLUMNS, strings
+from echofind.session import materialize
 from echofind.sources import csv, jsonl, tables
 
 NOT_UNIQUE = "external_id is not unique"
@@ -61,11 +62,26 @@ def load_reports(
     if on_reject == "fail" and (first := rejects.first()) is not None:
         raise ValueError(f"nothing imported: {first.reason}")
     numbered = assign_ids(accepted, ["position"], tables.last_id(stored))
-    reports = with_embedding(with_cleaned_text(numbered), embedder)
+    reports = with_cleaned_text(numbered)
+    if "embedding" not in reports.columns:
+        reports = with_embedding(reports, embedder)
     imported = tables.append(complete(reports), table)
     return Load(imported, rejects)
 
 
+def add_report(
+    spark: SparkSession, table: str, summary: str, embedding: Sequence[float] | None = None, embedder: Embedder | None = None, **fields: str
+) -> int | None:
+    """One report, optionally with its vector; its id, or None if a rule rejects it."""
+    row = {"summary": summary, **{n: fields.get(n) for n in UPLOAD_COLUMNS if n != "summary"}}
+    upload = spark.createDataFrame([tuple(row.values())], strings(row))
+    if embedding is not None:
+        check_vector(embedding, embedder.dim if embedder else DIMENSION)
+        upload = upload.withColumn("embedding", F.lit(list(embedding)).cast("array<float>"))
+    load = load_reports(upload, table, embedder)
+    return tables.last_id(tables.read_table(spark, table)) if load.imported else None
+
+
 def complete(reports: DataFrame) -> DataFrame:
     """All columns of the report table; time stamps are the time of writing."""
     for name in ("created_at", "updated_at"):

@@ -12,9 +12,10 @@ from echofind.functions.text import blank_to_null
 from echofind.operators import ann, knn
 from echofind.operators.validate import check_index_type, check_search, request_reason, split
 from echofind.schemas import FILTER_COLUMNS
+from echofind.session import broadcast_if_small, materialize
 
-MAX_K = 100
 DEFAULT_K = 10
+BROADCAST_HITS = 2_000_000
 FILTERS = ("product", "component")
 
 
@@ -68,17 +69,23 @@ def search(
         F.nullif(F.col("exclude_id"), F.lit(0)).alias("exclude_id"),
         embed_report(F.col("query"), embedder).alias("embedding"),
     )
-    hits = neighbours(queries, reports, MAX_K, index_type, index, FILTERS, **options)
+    deepest = accepted.agg(F.max("k").alias("k")).first().k or DEFAULT_K
+    hits = neighbours(queries, reports, deepest, index_type, index, FILTERS, **options)
     wanted = accepted.select("query_id", F.col("k").alias("_k"))
     hits = hits.join(wanted, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
     return with_reports(hits, reports), rejects
 
 
 def with_reports(hits: DataFrame, reports: DataFrame) -> DataFrame:
-    """Ranked hits with the report columns a caller sees, and the similarity."""
+    """Ranked hits with the report columns a caller sees, and the similarity.
+
+    The hits are written first: ranking runs once, and their size is known
+    when the join is planned. Few hits are taken to the reports, which then
+    stay in place.
+    """
+    hits = materialize(hits, "hits").withColumn("similarity", F.round(1 - F.col("distance"), 5)).drop("distance")
     shown = reports.drop("embedding", "cleaned_text", "updated_at")
-    similarity = F.round(1 - F.col("distance"), 5)
-    return hits.join(shown, "id").withColumn("similarity", similarity).drop("distance")
+    return shown.join(broadcast_if_small(hits, BROADCAST_HITS), "id")
 
 
 def search_text(

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -72,11 +73,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """A broadcast hint for a written table, if it has few enough rows.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for Python-heavy work on an input with few splits.
 
     A large input has more splits than cores, so nothing is shuffled there. A
     small one (one Parquet row group is one task) is spread by hash of ``keys``.
+    Meant for plain scans, whose splits are known without running anything.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

@@ -92,6 +92,17 @@ def test_pipeline_from_raw_to_jsonl_and_table(spark, tmp_path):
         csv.read_raw(spark, write(tmp_path / "y.csv", b"bug_id\n1\n"))
 
 
+def test_single_reports(spark):
+    table = scratch_dir(spark, "reports")
+    assert ingest.add_report(spark, table, "first", external_id="A", operating_system="Linux") == 1
+    assert ingest.add_report(spark, table, "again", external_id="A") is None
+    assert ingest.add_report(spark, table, "own vector", [0.5] * 384, component="C") == 2
+    stored = {r.id: r for r in tables.read_table(spark, table).collect()}
+    assert stored[1].operating_system == "Linux" and stored[2].embedding == [0.5] * 384
+    with pytest.raises(ValueError):
+        ingest.add_report(spark, table, "bad vector", [0.5])
+
+
 def test_tables(spark):
     path = scratch_dir(spark, "t")
     assert not tables.table_exists(spark, path)

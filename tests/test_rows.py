@@ -156,7 +156,21 @@ def test_latency(spark):
     row = evaluate.latency_summary(log, "ms").first()
     assert (row.queries_evaluated, row.average_latency_ms) == (20, 10.5)
     assert abs(row.p95_latency_ms - 19.05) < 1e-9
-    assert evaluate.latency_summary(log, "ms", approximate=True).first().p95_latency_ms == 19.0
+
+
+def test_percentile_equals_sorted_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"many": rng.normal(size=150_000), "hot": np.where(rng.random(5_000) < 0.97, 1.0, rng.random(5_000)), "one": np.array([4.0]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 3.0), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    groups[None] = np.array([1.0, 3.0])
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: (r["rows"], r.percentile) for r in evaluate.percentile(df, "x", p, "g").collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert got[g][0] == len(xs) and abs(got[g][1] - np.quantile(xs, p)) < 1e-9, (g, p)
 
 
 def test_sampling_repeats_itself(spark):
