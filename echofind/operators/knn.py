@@ -114,7 +114,7 @@ def _broadcast_hits(block: QueryBlock, reports: DataFrame, k: int, filters, keye
         queries = shared.value
         best = TopK(len(queries.ids), k)
         for batch in batches:
-            score(queries, ReportBlock(batch, filters, keyed), best, keyed)
+            score(queries, ReportBlock(batch, k, filters, keyed), best, keyed)
         yield best.to_batch(queries.ids)
 
     # A task emits k rows per query however much it reads, so a huge scan goes
@@ -158,7 +158,7 @@ def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: b
             return TopK(0, k).to_table([])
         block = QueryBlock.of(left, filters)
         best = TopK(len(block.ids), k)
-        score(block, ReportBlock(right, filters), best)
+        score(block, ReportBlock(right, k, filters), best)
         return best.to_table(block.ids)
 
     return queries.groupBy(*cell).cogroup(reports.groupBy(*cell)).applyInArrow(run, HITS)

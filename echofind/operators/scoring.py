@@ -1,7 +1,9 @@
 """Scoring of vector blocks inside one task.
 
 A block of queries meets a block of reports: one matrix product gives all
-distances, and only the best k per query are kept. Ties go to the lower id.
+cosines. Only cosines that can still enter a query's best k are looked at
+further, so after the first blocks nearly all pairs cost one multiplication
+and one comparison. Ties go to the lower id.
 """
 
 from __future__ import annotations
@@ -11,30 +13,36 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 
-from echofind.functions.vectors import distance_units, matrix, unit_rows, units_to_distance
+from echofind.functions.vectors import NAN_UNITS, UNITS, matrix, unit_rows, units_to_distance
 
 NO_ID = np.iinfo(np.int64).max
 EMPTY = 2**31 - 2  # above every distance, NaN included
-_CELLS = 4_000_000  # distances held at once
-
 HITS = "query_id bigint, id bigint, distance double"
 
+_CELLS = 4_000_000  # cosines held at once
+# Below every cosine, in falling order: a zero vector takes part; the list of a
+# query is not full; a filter rules the pair out.
+_UNDEFINED, _OPEN, _BARRED = -3.0, -4.0, -5.0
+
 
 @dataclass
 class QueryBlock:
     """Query vectors with what each of them allows as an answer."""
 
     ids: np.ndarray
-    units: np.ndarray
+    vectors: np.ndarray
     exclude: np.ndarray
     filters: dict[str, np.ndarray]
     rows_of_key: dict[int, np.ndarray] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.vectors, self.undefined = _unit_or_zero(self.vectors)
+
     @classmethod
     def of(cls, table: pa.Table, filters: tuple[str, ...] = (), keyed: bool = False) -> QueryBlock:
         block = cls(
             ids=table["query_id"].to_numpy(),
-            units=unit_rows(matrix(table["embedding"])),
+            vectors=matrix(table["embedding"]),
             exclude=table["exclude_id"].fill_null(NO_ID).to_numpy(),
             filters={f: np.array([v or None for v in table[f].to_pylist()], dtype=object) for f in filters},
         )
@@ -53,17 +61,35 @@ class TopK:
         self.units = np.full((queries, k), EMPTY, dtype=np.int64)
         self.ids = np.full((queries, k), NO_ID, dtype=np.int64)
 
+    def floor(self, rows: np.ndarray) -> np.ndarray:
+        """The lowest cosine that could still enter, one unit of slack included."""
+        last = self.units[rows, -1]
+        floor = 1.0 - (last + 1) / UNITS
+        floor[last == NAN_UNITS] = _UNDEFINED
+        floor[last == EMPTY] = _OPEN
+        return floor
+
     def offer(self, rows: np.ndarray, units: np.ndarray, ids: np.ndarray) -> None:
-        """Merge candidates; an id seen before (through another key) counts once."""
-        units = np.concatenate([self.units[rows], units], axis=1)
-        ids = np.concatenate([self.ids[rows], ids], axis=1)
-        by_id = np.lexsort((units, ids), axis=1)
-        units, ids = np.take_along_axis(units, by_id, 1), np.take_along_axis(ids, by_id, 1)
-        units[:, 1:][ids[:, 1:] == ids[:, :-1]] = EMPTY
-        best = np.lexsort((ids, units), axis=1)[:, : self.k]
-        units, ids = np.take_along_axis(units, best, 1), np.take_along_axis(ids, best, 1)
-        ids[units == EMPTY] = NO_ID
-        self.units[rows], self.ids[rows] = units, ids
+        """Merge candidates, one per element; an id offered twice counts once."""
+        if len(rows) == 0:
+            return
+        touched = np.unique(rows)
+        rows = np.concatenate([np.repeat(touched, self.k), rows])
+        units = np.concatenate([self.units[touched].ravel(), units])
+        ids = np.concatenate([self.ids[touched].ravel(), ids])
+        order = np.lexsort((units, ids, rows))
+        rows, units, ids = rows[order], units[order], ids[order]
+        first = np.ones(len(rows), dtype=bool)
+        first[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1]) | (ids[1:] == NO_ID)
+        rows, units, ids = rows[first], units[first], ids[first]
+        order = np.lexsort((ids, units, rows))
+        rows, units, ids = rows[order], units[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        # A row keeps k entries at least: its own old ones, empty or not, less double ids.
+        self.units[touched], self.ids[touched] = EMPTY, NO_ID
+        self.units[rows[kept], place[kept]] = units[kept]
+        self.ids[rows[kept], place[kept]] = ids[kept]
 
     def to_batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         row, col = np.nonzero(self.units != EMPTY)
@@ -82,21 +108,32 @@ class TopK:
 
 
 class ReportBlock:
-    """A block of reports, in id order so that column order breaks ties."""
+    """A block of reports, in id order so that column order breaks ties.
 
-    def __init__(self, data, filters: tuple[str, ...] = (), keyed: bool = False):
+    Of reports with equal vectors and filter values only the k + 1 lowest ids
+    can be among the best k of a query (it may exclude one), so a block full
+    of copies is cut down before it is scored.
+    """
+
+    def __init__(self, data, k: int, filters: tuple[str, ...] = (), keyed: bool = False):
         ids = _column(data, "id").to_numpy(zero_copy_only=False)
+        vectors = matrix(_column(data, "embedding"))
+        values = {f: np.array(_column(data, f).to_pylist(), dtype=object) for f in filters}
         order = np.argsort(ids, kind="stable")
+        order = order[_first_copies(vectors[order], [v[order] for v in values.values()], k + 1)]
         self.ids = ids[order]
-        self.units = unit_rows(matrix(_column(data, "embedding")))[order]
-        self.filters = {f: np.array(_column(data, f).to_pylist(), dtype=object)[order] for f in filters}
+        self.vectors, self.undefined = _unit_or_zero(vectors[order])
+        self.filters = {f: v[order] for f, v in values.items()}
         self.rows_of_key: dict[int, np.ndarray] = {}
         if keyed:
             keys = _column(data, "keys")
             rows = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
-            place = np.empty_like(order)
+            place = np.full(len(ids), -1)
             place[order] = np.arange(len(order))
-            self.rows_of_key = {k: np.sort(v) for k, v in _rows_by_value(keys.flatten().to_numpy(), place[rows]).items()}
+            rows, values_of_rows = place[rows], keys.flatten().to_numpy()
+            kept = rows >= 0
+            by_key = _rows_by_value(values_of_rows[kept], rows[kept])
+            self.rows_of_key = {key: np.sort(part) for key, part in by_key.items()}
 
 
 def score(queries: QueryBlock, reports: ReportBlock, best: TopK, keyed: bool = False) -> None:
@@ -113,28 +150,72 @@ def score(queries: QueryBlock, reports: ReportBlock, best: TopK, keyed: bool = F
 
 
 def _score_rows(queries, reports, best, rows, columns) -> None:
-    ids, vectors = reports.ids[columns], reports.units[columns]
+    ids, vectors, undefined = reports.ids[columns], reports.vectors[columns], reports.undefined[columns]
     step = max(1, _CELLS // len(ids))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
-        units = distance_units(queries.units[part], vectors)
-        units[queries.exclude[part][:, None] == ids[None, :]] = EMPTY
+        cosine = queries.vectors[part] @ vectors.T
+        cosine[:, undefined] = _UNDEFINED
+        cosine[queries.undefined[part]] = _UNDEFINED
         for name, wanted in queries.filters.items():
-            _apply_filter(units, wanted[part], reports.filters[name][columns])
-        best.offer(part, *_best_columns(units, ids, best.k))
+            _apply_filter(cosine, wanted[part], reports.filters[name][columns])
+        floor = best.floor(part)
+        _raise_floor(floor, cosine, best.k)
+        row, column = divmod(np.flatnonzero(cosine >= floor[:, None]), len(ids))
+        allowed = queries.exclude[part[row]] != ids[column]
+        row, column = row[allowed], column[allowed]
+        best.offer(part[row], _units(cosine[row, column]), ids[column])
 
 
-def _apply_filter(units: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> None:
-    """No wanted value means no filter; a NULL value never matches."""
-    for value in {w for w in wanted if w is not None}:
-        units[np.ix_(wanted == value, values != value)] = EMPTY
+def _raise_floor(floor: np.ndarray, cosine: np.ndarray, k: int) -> None:
+    """Where a list is not full, start from the (k + 1)th best cosine of this block.
 
+    One report may be excluded, hence k + 1; the slack keeps all its ties.
+    """
+    open_rows = np.flatnonzero(floor == _OPEN)
+    if len(open_rows) and cosine.shape[1] > k + 1:
+        least = -np.partition(-cosine[open_rows], k, axis=1)[:, k]
+        defined = least >= -1.5
+        floor[open_rows[defined]] = least[defined] - 1 / UNITS
+        floor[open_rows[least == _UNDEFINED]] = _UNDEFINED
 
-def _best_columns(units: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    packed = (units << 31) | np.arange(units.shape[1])
-    if packed.shape[1] > k:
-        packed = np.partition(packed, k - 1, axis=1)[:, :k]
-    return packed >> 31, ids[packed & (2**31 - 1)]
+
+def _units(cosine: np.ndarray) -> np.ndarray:
+    units = np.rint(np.clip(1.0 - cosine, 0.0, 2.0) * UNITS).astype(np.int64)
+    units[cosine == _UNDEFINED] = NAN_UNITS
+    return units
+
+
+def _unit_or_zero(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and which rows are zero and have no direction."""
+    undefined = ~vectors.any(axis=1) if vectors.size else np.zeros(len(vectors), dtype=bool)
+    units = unit_rows(vectors)
+    units[undefined] = 0.0
+    return units, undefined
+
+
+def _apply_filter(cosine: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> None:
+    """No wanted value means no filter; a NULL value never matches."""
+    for value in {w for w in wanted if w is not None}:
+        cosine[np.ix_(wanted == value, values != value)] = _BARRED
+
+
+def _first_copies(vectors: np.ndarray, values: list[np.ndarray], n: int) -> np.ndarray:
+    """Rows to keep: of rows with equal vectors and values, the first n."""
+    keep = np.ones(len(vectors), dtype=bool)
+    if len(vectors) <= n:
+        return keep
+    # Equal rows have equal prints (nearly always); only large groups are looked at byte by byte.
+    prints = vectors @ np.linspace(1.0, 2.0, vectors.shape[1])
+    _, group, size = np.unique(prints, return_inverse=True, return_counts=True)
+    crowded = np.flatnonzero(size[group] > n)
+    if len(crowded):
+        seen: dict[tuple, int] = {}
+        for row in crowded:
+            same = (vectors[row].tobytes(), *(v[row] for v in values))
+            seen[same] = seen.get(same, 0) + 1
+            keep[row] = seen[same] <= n
+    return keep
 
 
 def _rows_by_value(values: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
