@@ -120,18 +120,23 @@ per_query AS (
 
 PAIRS = "SELECT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b, max(round(1 - d, 5)) AS similarity FROM {hits} WHERE round(1 - d, 5) >= {least} GROUP BY 1, 2"
 
-LSH = f"""
+def _lsh(tables: int, flips: int) -> str:
+    """CTEs from ``vectors`` to shared(query_id, id): pairs with a common 8-bit bucket."""
+    return f"""
 planes AS (
   SELECT t, b, list(CASE WHEN md5(t || ':' || b || ':' || d)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS p
-  FROM (SELECT range AS t FROM range(8)), (SELECT range AS b FROM range(8)), (SELECT range AS d FROM range(64)) GROUP BY t, b),
+  FROM (SELECT range AS t FROM range({tables})), (SELECT range AS b FROM range(8)), (SELECT range AS d FROM range(64)) GROUP BY t, b),
 margins AS (SELECT id, t, b, list_dot_product(v, p) AS m FROM vectors, planes),
 buckets AS (SELECT id, t, sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS s FROM margins GROUP BY ALL),
-closest AS (SELECT id, t, b FROM (SELECT id, t, b, row_number() OVER (PARTITION BY id, t ORDER BY abs(m), b) AS r FROM margins) WHERE r <= 2),
+closest AS (SELECT id, t, b FROM (SELECT id, t, b, row_number() OVER (PARTITION BY id, t ORDER BY abs(m), b) AS r FROM margins) WHERE r <= {flips}),
 probed AS (
   SELECT id, t, s FROM buckets UNION
   SELECT k.id, k.t, xor(k.s, (1 << c.b)::BIGINT) FROM buckets k JOIN closest c ON k.id = c.id AND k.t = c.t),
 shared AS (SELECT DISTINCT p.id AS query_id, k.id FROM probed p JOIN buckets k ON p.t = k.t AND p.s = k.s AND p.id <> k.id)"""
 
+
+SHARED_PAIRS = f"SELECT s.query_id, s.id, {_dist('q.v', 'r.v')} AS d FROM shared s JOIN vectors q ON q.id = s.query_id JOIN vectors r ON r.id = s.id"
+
 RAW = r"""
 raw AS (
   SELECT doc_id, doc_id % 5 AS kind,
@@ -207,7 +212,8 @@ FROM {_top(TEXT_PAIRS, 5)} t JOIN cleaned c ON c.id = t.id""",
     "ivf_candidates": f"""WITH {VECTORS}, {_ivf('vectors')}
 SELECT l.id AS query_id, count(*) AS candidates FROM ranked_lists l JOIN assigned a ON l.list_id = a.list_id
 WHERE list_rank <= 4 GROUP BY l.id""",
-    "lsh_search": f"""WITH {VECTORS}, {LSH} {RANKED}{_top(f"SELECT s.query_id, s.id, {_dist('q.v', 'r.v')} AS d FROM shared s JOIN vectors q ON q.id = s.query_id JOIN vectors r ON r.id = s.id", 10)}""",
+    "lsh_search": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
+    "duplicate_pairs_hashed": f"WITH {VECTORS}, {_lsh(16, 0)} {PAIRS.format(hits=_top(SHARED_PAIRS, 10), least=0.3)}",
     "duplicate_pairs": f"WITH {VECTORS} {PAIRS.format(hits=_top(EXACT_PAIRS, 10), least=0.3)}",
     "duplicate_reports": f"WITH {DOCUMENTS}, {_ivf('doc_vectors')} {PAIRS.format(hits=_top(_ivf_pairs('doc_vectors', 2), 5), least=0.9)}",
     "recall_hit_rate": COMPARED

@@ -182,6 +182,12 @@ def duplicate_reports(spark, sf_dir):
     return pairs.duplicate_pairs(reports, 5, 0.9, _ivf(reports), probes=2)
 
 
+def duplicate_pairs_hashed(spark, sf_dir):
+    """Pairs that share a bucket in one of sixteen tables, by cells."""
+    reports = _vectors(spark, sf_dir)
+    return pairs.duplicate_pairs(reports, K, 0.3, ann.LshIndex(DIM, tables=16, bits=8), broadcast_queries=0)
+
+
 # evaluation
 
 
@@ -488,7 +494,7 @@ ALL = {
     for f in (
         knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_candidates, lsh_search,
-        duplicate_pairs, duplicate_reports,
+        duplicate_pairs, duplicate_pairs_hashed, duplicate_reports,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,
         vector_text_roundtrip, seed_vectors, similarity_band, status_class,

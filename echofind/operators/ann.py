@@ -33,7 +33,7 @@ BITS = 8
 FLIPS = 2
 SEED_OVERSAMPLING = 8
 INDEX_BYTES = 64 * 1024 * 1024
-MOST_BUCKETS = 1 << 20
+MOST_BITS = 48
 
 _KEYS = T.ArrayType(T.LongType(), containsNull=False)
 
@@ -193,8 +193,8 @@ class LshIndex:
     bits: int = BITS
 
     def __post_init__(self):
-        if self.tables << self.bits > MOST_BUCKETS:
-            raise ValueError("too many buckets: fewer tables or bits, please")
+        if not 1 <= self.bits <= MOST_BITS:
+            raise ValueError(f"bits must be between 1 and {MOST_BITS}")
 
     def planes(self) -> np.ndarray:
         """One +1/-1 normal per table and bit, the same in every session."""

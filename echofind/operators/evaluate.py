@@ -10,6 +10,7 @@ from echofind.session import broadcast_if_small, materialize
 _ACCURACY = 100_000  # rank error of the sketch: 1 / 100,000 of the rows
 _BRACKET = 3 / _ACCURACY
 _MOST_GROUPS = 1_000_000
+SMALL_LOG = 1_000_000
 
 CUTOFFS = (1, 5, 10)
 MIN_DEPTH = 10
@@ -67,24 +68,30 @@ def latency_summary(log: DataFrame, latency: str, *groups: str, p: float = 0.95)
     )
 
 
-def percentile(df: DataFrame, value: str, p: float, *groups: str) -> DataFrame:
-    """(groups, rows, mean, percentile) without holding the values of a group together.
+def percentile(df: DataFrame, value: str, p: float, *groups: str, small: int = SMALL_LOG) -> DataFrame:
+    """(groups, rows, mean, percentile), interpolated and exact.
 
-    A sketch first brackets the percentile of each group between two values
+    Spark's own exact percentile holds the values of a group in one task, so
+    it is used up to ``small`` rows only. Beyond, a sketch first brackets the percentile of each group between two values
     closely around it. A second pass counts what lies below the bracket and
     the distinct values within, a tiny share of the rows; only those are put
     in order.
     """
     values = df.select(F.struct(F.lit(0), *groups).alias("_group"), F.col(value).cast("double").alias("_x"))
     values = values.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if values.count() <= small:
+        exact = [F.count("*").alias("rows"), F.avg("_x").alias("mean"), F.percentile("_x", p).alias("percentile")]
+        return values.groupBy("_group").agg(*exact).select(
+            *[F.col("_group")[g].alias(g) for g in groups], "rows", "mean", "percentile"
+        )
     ends = F.array(F.lit(max(p - _BRACKET, 0.0)), F.lit(min(p + _BRACKET, 1.0)))
     brackets = values.groupBy("_group").agg(
         F.count("*").alias("rows"), F.avg("_x").alias("mean"), F.percentile_approx("_x", ends, _ACCURACY).alias("_ends")
     )
     # A small group is ordered whole: there the next rank may lie outside the bracket.
     everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
-    small = F.col("rows") <= _ACCURACY
-    brackets = brackets.withColumn("_ends", F.when(small, everything).otherwise(F.col("_ends")))
+    few = F.col("rows") <= _ACCURACY
+    brackets = brackets.withColumn("_ends", F.when(few, everything).otherwise(F.col("_ends")))
     brackets = materialize(brackets, "brackets")
     low, high = F.col("_ends")[0], F.col("_ends")[1]
     # Values under the bracket count under one stand-in, so that they combine before the shuffle.

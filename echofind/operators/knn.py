@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from echofind.functions.vectors import distance_to
 from echofind.operators.scoring import HITS, QueryBlock, ReportBlock, TopK, score
 from echofind.operators.validate import check_k, check_vector
-from echofind.session import materialize
+from echofind.session import broadcast_if_small, materialize
 
 BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_KEYS = 4_000_000
 CELL_ROWS = 50_000
 TASKS_PER_CORE = 4
 
@@ -124,46 +125,56 @@ def _broadcast_hits(block: QueryBlock, reports: DataFrame, k: int, filters, keye
 
 
 def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: bool, cell_rows: int) -> DataFrame:
-    """Score cells of at most about ``cell_rows`` x ``cell_rows`` rows.
+    """Score cells of about ``cell_rows`` x ``cell_rows`` rows at most.
 
     A key with more rows is cut into chunks by hash of the id; each chunk of
-    queries meets each chunk of reports in a cell of its own.
+    queries meets each chunk of reports in a cell of its own. The many smaller
+    keys share cells by hash of the key. Without keys, all rows have one key.
 
-    With keys, a group of exact copies would sit in one list and meet itself.
-    Only its k + 1 lowest ids can ever be among the best k (one id may be
-    excluded), so the rest of the group goes no further. Keyed sides are
-    written once, as they are counted by key before they are cut.
+    A group of exact copies would sit under one key and meet itself. Only its
+    k + 1 lowest ids can ever be among the best k (one id may be excluded), so
+    the rest of the group goes no further. Keyed sides are written once, as
+    they are counted by key before they are cut.
     """
     if keyed:
         queries = materialize(queries, "queries").withColumn("key", F.explode("keys")).drop("keys")
         reports = materialize(lowest_ids_per_vector(reports, k + 1, filters), "reports")
         reports = reports.withColumn("key", F.explode("keys")).drop("keys")
-        # At most one row per key, and IvfIndex and LshIndex bound the number of keys.
-        hot = F.broadcast(_hot_keys(queries, reports, cell_rows))
-        queries, reports = queries.join(hot, "key", "left"), reports.join(hot, "key", "left")
+        # A hot key has over cell_rows rows, so there are rows / cell_rows of them at most.
+        hot = broadcast_if_small(materialize(_hot_keys(queries, reports, cell_rows), "hot"), BROADCAST_KEYS)
+        sizes = [side.count() for side in (queries, reports)]
+        cells = max(-(-max(sizes) // cell_rows), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        queries, reports = (_with_cell(side.join(hot, "key", "left"), cells) for side in (queries, reports))
     else:
         chunks = [F.lit(-(-side.count() // cell_rows)) for side in (queries, reports)]
         queries, reports = (
             side.withColumn("key", F.lit(0).cast("bigint"))
             .withColumn("query_chunks", chunks[0])
             .withColumn("report_chunks", chunks[1])
+            .transform(_with_cell, 1)
             for side in (queries, reports)
         )
     queries = _cut(queries, "query_id", own="query_chunk", other="report_chunk")
     reports = _cut(reports, "id", own="report_chunk", other="query_chunk")
-    cell = ["key", "query_chunk", "report_chunk"]
+    cell = ["hot", "cell", "query_chunk", "report_chunk"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return TopK(0, k).to_table([])
-        block = QueryBlock.of(left, filters)
+        block = QueryBlock.of(left, filters, keyed)
         best = TopK(len(block.ids), k)
-        score(block, ReportBlock(right, k, filters), best)
+        score(block, ReportBlock(right, k, filters, keyed), best, keyed)
         return best.to_table(block.ids)
 
     return queries.groupBy(*cell).cogroup(reports.groupBy(*cell)).applyInArrow(run, HITS)
 
 
+def _with_cell(side: DataFrame, cells: int) -> DataFrame:
+    hot = F.col("query_chunks").isNotNull()
+    shared = F.pmod(F.xxhash64("key"), F.lit(cells))
+    return side.withColumn("hot", hot).withColumn("cell", F.when(hot, F.col("key")).otherwise(shared))
+
+
 def lowest_ids_per_vector(reports: DataFrame, n: int, filters: tuple[str, ...] = ()) -> DataFrame:
     """Keep the n lowest ids among reports with equal vector and filter values.
 

@@ -47,9 +47,7 @@ class QueryBlock:
             filters={f: np.array([v or None for v in table[f].to_pylist()], dtype=object) for f in filters},
         )
         if keyed:
-            keys = table["keys"].combine_chunks()
-            rows = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
-            block.rows_of_key = _rows_by_value(keys.flatten().to_numpy(), rows)
+            block.rows_of_key = _rows_by_value(*_keys(table))
         return block
 
 
@@ -120,22 +118,32 @@ class ReportBlock:
         vectors = matrix(_column(data, "embedding"))
         values = {f: np.array(_column(data, f).to_pylist(), dtype=object) for f in filters}
         order = np.argsort(ids, kind="stable")
-        order = order[_first_copies(vectors[order], [v[order] for v in values.values()], k + 1)]
+        keys, rows_of_keys = _keys(data) if keyed else (None, None)
+        alike = list(values.values())
+        if keyed and "key" in data.schema.names:
+            alike.append(keys)
+        order = order[_first_copies(vectors[order], [v[order] for v in alike], k + 1)]
         self.ids = ids[order]
         self.vectors, self.undefined = _unit_or_zero(vectors[order])
         self.filters = {f: v[order] for f, v in values.items()}
         self.rows_of_key: dict[int, np.ndarray] = {}
         if keyed:
-            keys = _column(data, "keys")
-            rows = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
             place = np.full(len(ids), -1)
             place[order] = np.arange(len(order))
-            rows, values_of_rows = place[rows], keys.flatten().to_numpy()
-            kept = rows >= 0
-            by_key = _rows_by_value(values_of_rows[kept], rows[kept])
+            rows = place[rows_of_keys]
+            by_key = _rows_by_value(keys[rows >= 0], rows[rows >= 0])
             self.rows_of_key = {key: np.sort(part) for key, part in by_key.items()}
 
 
+def _keys(data) -> tuple[np.ndarray, np.ndarray]:
+    """Key values and the rows they belong to, from one key or a list of keys per row."""
+    if "key" in data.schema.names:
+        keys = _column(data, "key").to_numpy(zero_copy_only=False)
+        return keys, np.arange(len(keys))
+    lists = _column(data, "keys")
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
 def score(queries: QueryBlock, reports: ReportBlock, best: TopK, keyed: bool = False) -> None:
     """Offer the reports to the queries; with keys, only where a key is shared."""
     if len(reports.ids) == 0:

@@ -36,11 +36,10 @@ def accept_reports(upload: DataFrame, stored: DataFrame) -> tuple[DataFrame, Dat
     rows = materialize(service_columns(positioned), "upload")
     valid, invalid = split(rows, report_reason())
     # Uniqueness is judged on positions and keys only; whole rows are not shuffled for it.
-    keys = mark_repeats(valid.select("position", "external_id"), "external_id", "position")
-    keys = materialize(keys.filter("external_id IS NOT NULL"), "keys")
-    known = stored_keys(keys, stored, "external_id")
-    repeated = keys.filter("is_repeat").select("position").union(keys.join(known, "external_id").select("position"))
-    repeated = materialize(repeated.distinct(), "repeated")
+    keys = valid.select("position", "external_id").filter("external_id IS NOT NULL")
+    again = mark_repeats(keys, "external_id", "position").filter("is_repeat")
+    known = keys.join(stored_keys(keys, stored, "external_id"), "external_id")
+    repeated = materialize(again.select("position").union(known.select("position")).distinct(), "repeated")
     not_unique = valid.join(repeated, "position", "left_semi").withColumn("reason", F.lit(NOT_UNIQUE))
     return valid.join(repeated, "position", "left_anti"), invalid.unionByName(not_unique)
 
@@ -58,7 +57,6 @@ def load_reports(
     spark = upload.sparkSession
     stored = tables.read_table(spark, table)
     accepted, rejects = accept_reports(upload, stored)
-    rejects = materialize(rejects, "rejects")
     if on_reject == "fail" and (first := rejects.first()) is not None:
         raise ValueError(f"nothing imported: {first.reason}")
     numbered = assign_ids(accepted, ["position"], tables.last_id(stored))

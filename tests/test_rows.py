@@ -166,8 +166,8 @@ def test_percentile_equals_sorted_values(spark):
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 3.0), ("one", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(6)
     groups[None] = np.array([1.0, 3.0])
-    for p in (0.0, 0.5, 0.95, 1.0):
-        got = {r.g: (r["rows"], r.percentile) for r in evaluate.percentile(df, "x", p, "g").collect()}
+    for p, small in ((0.0, 0), (0.5, 0), (0.95, 0), (1.0, 0), (0.95, 10**6)):
+        got = {r.g: (r["rows"], r.percentile) for r in evaluate.percentile(df, "x", p, "g", small=small).collect()}
         assert set(got) == set(groups)
         for g, xs in groups.items():
             assert got[g][0] == len(xs) and abs(got[g][1] - np.quantile(xs, p)) < 1e-9, (g, p)
