@@ -230,7 +230,7 @@ def latency_summary(spark, sf_dir):
 
 def benchmark_history(spark, sf_dir):
     """Runs made of the daily events of each type."""
-    events = _table(spark, sf_dir, "events").withColumn("created_at", F.date_trunc("day", "ts"))
+    events = _table(spark, sf_dir, "events").withColumn("created_at", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     runs = evaluate.latency_summary(events, "value", "event_type", "created_at")
     index_type = (
         F.when(F.col("event_type").isin("click", "view"), F.lit("hnsw"))

@@ -51,12 +51,16 @@ class Cleaner:
         return " ".join(text.split())
 
 
-def clean_text(text: Column, profile: str = "service") -> Column:
+def clean_text(text: Column, profile: str = "service", pinned: bool = False) -> Column:
     """Decode entities, drop tags and links, collapse white space.
 
     ``service`` removes tags and links in one scan, so a link may swallow a
     tag that touches it. ``pipeline`` removes tags first, then links (also
     ``www.`` ones), keeps an empty ``<>``, and reads NULL as ''.
+
+    Spark moves a filter on cleaned text below the cleaning and then cleans
+    twice. ``pinned`` keeps all later filters above; use it only where the
+    result is filtered on.
     """
     cleaner = Cleaner(profile)
 
@@ -64,6 +68,8 @@ def clean_text(text: Column, profile: str = "service") -> Column:
     def clean(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else cleaner(t) for t in texts.to_pylist()], pa.string())
 
+    if pinned:
+        clean = clean.asNondeterministic()
     return clean(F.coalesce(text, F.lit("")) if profile == "pipeline" else text)
 
 

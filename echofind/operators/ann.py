@@ -151,9 +151,9 @@ def ivf_search(
     pruned to the probed lists.
     """
     queries = queries.withColumn("keys", index.probe(F.col("embedding"), probes))
-    if "list_id" not in reports.columns:
-        reports = reports.withColumn("list_id", index.list_id(F.col("embedding")))
-    return knn.knn_join(queries, reports, k, filters, key_column="list_id", **limits)
+    if "list_id" in reports.columns:
+        return knn.knn_join(queries, reports, k, filters, key_column="list_id", **limits)
+    return knn.knn_join(queries, reports.withColumn("keys", index.probe(F.col("embedding"), 1)), k, filters, **limits)
 
 
 def write_ivf(reports: DataFrame, index: IvfIndex, path: str) -> None:

@@ -27,8 +27,8 @@ def normalize_reports(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     clean = raw.select(
         F.col("bug_id").alias("_given"),
         numeric_id(F.col("bug_id")).alias("bug_id"),
-        clean_text(F.col("summary"), "pipeline").alias("summary"),
-        clean_text(F.col("description"), "pipeline").alias("description"),
+        clean_text(F.col("summary"), "pipeline", pinned=True).alias("summary"),
+        clean_text(F.col("description"), "pipeline", pinned=True).alias("description"),
         normal_status(F.col("resolution_status")).alias("resolution_status"),
         _labelled("operating_system", DEFAULT_SYSTEM),
         _labelled("architecture", DEFAULT_SYSTEM),
