@@ -59,7 +59,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="echofind-")
-    return f"{base.rstrip('/')}/echofind/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/echofind/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application wrote.
+
+    Call it once no result is in use: results may read from these tables.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+            f"{base.rstrip('/')}/echofind/{spark.sparkContext.applicationId}"
+        )
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
