@@ -278,6 +278,8 @@ FROM s FULL JOIN n ON s.id = n.id""",
     "csv_roundtrip": "SELECT doc_id, text AS summary, lang AS product, NULL::VARCHAR AS component FROM documents",
     "bulk_load": STORED,
     "stream_ingest": STORED,
+    "stream_watermark": """SELECT DISTINCT user_id || '-' || event_type AS external_id FROM events WHERE event_type <> 'error'
+UNION ALL SELECT NULL FROM events WHERE event_type = 'error'""",
     "stream_upsert": """SELECT conv_id, turn, role, text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
 }

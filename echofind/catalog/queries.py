@@ -482,11 +482,28 @@ def stream_match(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    base, checkpoint = scratch_dir(spark, "states"), scratch_dir(spark, "checkpoint")
-    turns = _stream(spark, sf_dir, "conversations")
-    streaming.upsert_stream(turns, base, checkpoint, "conv_id", ["turn", "role", "text"], ["turn"]).awaitTermination()
-    schema = "conv_id bigint, turn bigint, role string, text string"
-    return tables.read_version(spark, base, schema)
+    table, checkpoint = scratch_dir(spark, "states"), scratch_dir(spark, "checkpoint")
+    turns, columns = _stream(spark, sf_dir, "conversations"), ["turn", "role", "text"]
+    streaming.upsert_stream(turns, table, checkpoint, "conv_id", columns, ["turn"]).awaitTermination()
+    latest = streaming.read_latest(spark, table, streaming.state_schema(turns, "conv_id", columns), "conv_id")
+    return latest.select("conv_id", *columns)
+
+
+def stream_watermark(spark, sf_dir):
+    """First arrivals per user and event type, with bounded state; errors have no key and all pass."""
+    target, checkpoint = scratch_dir(spark, "firsts"), scratch_dir(spark, "checkpoint")
+    key = F.when(F.col("event_type") != "error", F.concat_ws("-", "user_id", "event_type"))
+    arrivals = _stream(spark, sf_dir, "events").select(key.alias("external_id"), F.col("ts").cast("timestamp").alias("ts"))
+    firsts = streaming.dedupe_within_watermark(arrivals, "external_id", "ts", "60 days").select("external_id")
+    (
+        firsts.writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema("external_id string").parquet(target)
 
 
 ALL = {
@@ -500,6 +517,6 @@ ALL = {
         vector_text_roundtrip, seed_vectors, similarity_band, status_class,
         validate_rejects, dedupe_external_id, alias_columns, upsert_latest, assign_report_ids,
         csv_roundtrip, clean_dataset, jsonl_export, bulk_load,
-        stream_ingest, stream_dedupe, stream_match, stream_upsert,
+        stream_ingest, stream_dedupe, stream_match, stream_upsert, stream_watermark,
     )
 }

@@ -18,16 +18,27 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str, columns: Sequence[str]
     get both time stamps; ``updated_at`` of a stored row moves only when one of
     ``columns`` changes.
     """
+    return _merged(stored, batch, key, columns, now).drop("_changed")
+
+
+def changes(stored: DataFrame, batch: DataFrame, key: str, columns: Sequence[str], now: Column) -> DataFrame:
+    """Only the rows of :func:`upsert` that are new or changed."""
+    return _merged(stored, batch, key, columns, now).filter("_changed").drop("_changed")
+
+
+def _merged(stored: DataFrame, batch: DataFrame, key: str, columns: Sequence[str], now: Column) -> DataFrame:
     old, new = stored.alias("old"), batch.select(key, *columns).alias("new")
     arrived, known = F.col(f"new.{key}").isNotNull(), F.col(f"old.{key}").isNotNull()
     differs = reduce(
         lambda a, b: a | b, [~F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in columns], F.lit(False)
     )
+    changed = ~known | (arrived & differs)
     return old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer").select(
         F.coalesce(f"new.{key}", f"old.{key}").alias(key),
         *[F.when(arrived, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns],
         F.when(known, F.col("old.created_at")).otherwise(now).alias("created_at"),
-        F.when(~known | (arrived & differs), now).otherwise(F.col("old.updated_at")).alias("updated_at"),
+        F.when(changed, now).otherwise(F.col("old.updated_at")).alias("updated_at"),
+        changed.alias("_changed"),
     )
 
 

@@ -12,7 +12,6 @@ from echofind.operators.validate import run_reason, split
 from echofind.schemas import BENCHMARK_RUNS, BUG_REPORTS, DIMENSION
 
 HISTORY_ROWS = 50
-_VERSIONS = "version bigint, path string"
 
 # The three seed reports and their constant vectors.
 SEED_ROWS = (
@@ -72,28 +71,3 @@ def append_run(spark: SparkSession, path: str, run: dict, now: datetime | None =
 def history(runs: DataFrame, limit: int = HISTORY_ROWS) -> DataFrame:
     """The newest runs first."""
     return runs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-
-
-def write_version(df: DataFrame, base: str, version: int) -> None:
-    """A new snapshot of a table, then one line that makes it current.
-
-    Readers never see a half-written snapshot. Writing a version again puts
-    the same folder in place, so a replayed batch does no harm.
-    """
-    path = f"{base}/snapshots/{version}"
-    df.write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(version, path)], _VERSIONS).write.mode("append").parquet(f"{base}/versions")
-
-
-def read_version(spark: SparkSession, base: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The current snapshot, or the last one older than ``before``."""
-    if not table_exists(spark, f"{base}/versions"):
-        return spark.createDataFrame([], schema)
-    versions = spark.read.schema(_VERSIONS).parquet(f"{base}/versions")
-    if before is not None:
-        versions = versions.filter(F.col("version") < before)
-    current = versions.orderBy(F.desc("version")).first()
-    if current is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(current.path)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from echofind.functions.embed import Embedder
 from echofind.operators.normalize import with_cleaned_text, with_embedding
-from echofind.operators.upsert import assign_ids, upsert
+from echofind.operators.upsert import assign_ids, changes
 from echofind.operators.validate import latest_per_key
 from echofind.plans.ingest import accept_reports, complete
 from echofind.plans.search import neighbours
@@ -83,25 +83,52 @@ def match_stream(
     return run_available(stream, checkpoint, match)
 
 
+def state_schema(stream: DataFrame, key: str, columns: Sequence[str]) -> T.StructType:
+    stamps = [T.StructField(n, T.TimestampType()) for n in ("created_at", "updated_at")]
+    return T.StructType([stream.schema[c] for c in (key, *columns)] + stamps)
+
+
 def upsert_stream(
-    stream: DataFrame, base: str, checkpoint: str, key: str, columns: Sequence[str], order: Sequence[str]
+    stream: DataFrame, table: str, checkpoint: str, key: str, columns: Sequence[str], order: Sequence[str]
 ) -> StreamingQuery:
-    """Keep the latest row per key; each batch makes a new snapshot of the table."""
-    types = stream.schema
-    schema = T.StructType(
-        [types[key]]
-        + [types[c] for c in columns]
-        + [T.StructField(n, T.TimestampType()) for n in ("created_at", "updated_at")]
-    )
+    """Keep the latest row per key as a log of changes.
+
+    A batch reads the stored rows of its own keys and writes the rows that are
+    new or changed; the rest of the table is not rewritten. ``read_latest``
+    gives the table, ``compact`` shortens the log.
+    """
+    schema = state_schema(stream, key, columns)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = tables.read_version(batch.sparkSession, base, schema, before=batch_id)
-        latest = latest_per_key(batch, key, order)
-        tables.write_version(upsert(stored, latest, key, columns, F.current_timestamp()), base, batch_id)
+        latest = materialize(latest_per_key(batch, key, order), "latest")
+        stored = read_latest(batch.sparkSession, table, schema, key, before=batch_id, only=latest.select(key))
+        write_batch(changes(stored, latest, key, columns, F.current_timestamp()), table, batch_id)
 
     return run_available(stream, checkpoint, merge)
 
 
+def read_latest(
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType,
+    key: str,
+    before: int | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """The last change of every key, or of the keys in ``only``."""
+    log = tables.read_table(spark, table, T.StructType(schema.fields + [_BATCH]))
+    if before is not None:
+        log = log.filter(F.col("batch_id") < before)
+    if only is not None:
+        log = log.join(only, key, "left_semi")
+    return latest_per_key(log, key, ["batch_id"]).select(*schema.fieldNames())
+
+
+def compact(spark: SparkSession, table: str, target: str, schema: T.StructType, key: str) -> None:
+    """The table as a new log of one batch, older than any batch of a stream."""
+    write_batch(read_latest(spark, table, schema, key), target, -1)
+
+
 def dedupe_within_watermark(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Bounded-state variant: repeats of a key within ``delay`` are dropped.
 

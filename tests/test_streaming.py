@@ -56,11 +56,18 @@ def test_upsert_stream(spark):
         _drop(spark, folder, rows, schema)
         stream = spark.readStream.schema(schema).parquet(folder)
         streaming.upsert_stream(stream, base, checkpoint, "key", ["t", "status"], ["t"]).awaitTermination()
-    full = "key string, t int, status string, created_at timestamp, updated_at timestamp"
-    got = {r.key: r for r in tables.read_version(spark, base, full).collect()}
+    full = streaming.state_schema(spark.createDataFrame([], schema), "key", ["t", "status"])
+    got = {r.key: r for r in streaming.read_latest(spark, base, full, "key").collect()}
     assert {k: (r.t, r.status) for k, r in got.items()} == {"a": (3, "CLOSED"), "b": (1, "NEW"), "c": (1, "NEW")}
     assert got["a"].updated_at > got["a"].created_at and got["b"].updated_at == got["b"].created_at
-    assert {r.key for r in tables.read_version(spark, base, full, before=1).collect()} == {"a", "b"}
+    assert {r.key for r in streaming.read_latest(spark, base, full, "key", before=1).collect()} == {"a", "b"}
+    # A batch writes its changes only, and the same state again is no change.
+    _drop(spark, folder, [("a", 3, "CLOSED"), ("b", 1, "NEW"), ("d", 1, "NEW")], schema)
+    streaming.upsert_stream(spark.readStream.schema(schema).parquet(folder), base, checkpoint, "key", ["t", "status"], ["t"]).awaitTermination()
+    assert [r.key for r in spark.read.parquet(f"{base}/batch_id=2").collect()] == ["d"]
+    short = scratch_dir(spark, "short")
+    streaming.compact(spark, base, short, full, "key")
+    assert {r.key for r in streaming.read_latest(spark, short, full, "key", before=0).collect()} == set("abcd")
 
 
 def test_watermark_variant_drops_repeats_and_keeps_unkeyed_rows(spark):
