@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofind.functions import display, text, vectors
-from echofind.functions.embed import embed, embed_report
+from echofind.functions.embed import embed
 from echofind.operators import ann, evaluate, knn, pairs, validate
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids, upsert

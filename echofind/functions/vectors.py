@@ -53,9 +53,17 @@ def constant_vector(value: Column, size: int) -> Column:
     return F.array_repeat(value, size)
 
 
+@F.arrow_udf(T.StringType())
+def _formatted(column: pa.Array) -> pa.Array:
+    texts = []
+    for values in column.to_pylist():
+        texts.append(None if values is None else "[" + ",".join(["%.8f"] * len(values)) % tuple(values) + "]")
+    return pa.array(texts, pa.string())
+
+
 def vector_to_text(v: Column) -> Column:
-    """``[0.10000000,...]``, eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.8f", x)), ","), F.lit("]"))
+    """``[0.10000000,...]``, eight decimals, rounded as Python (not Java) rounds."""
+    return _formatted(v)
 
 
 def text_to_vector(text: Column) -> Column:

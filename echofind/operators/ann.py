@@ -103,6 +103,8 @@ def _seeds(vectors: DataFrame, lists: int) -> np.ndarray:
     while True:
         head = matrix(ordered.limit(rows).toArrow()["embedding"])
         seeds = _distinct_rows(head[head.any(axis=1)])[:lists]
+        if len(seeds) == 0 and len(head) < rows:
+            raise ValueError("there are no vectors to train on")
         if len(seeds) == lists or len(head) < rows or head.nbytes * 2 > INDEX_BYTES:
             return seeds
         rows *= 2

@@ -146,7 +146,7 @@ def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: b
         cells = max(-(-max(sizes) // cell_rows), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         queries, reports = (_with_cell(side.join(hot, "key", "left"), cells) for side in (queries, reports))
     else:
-        chunks = [F.lit(-(-side.count() // cell_rows)) for side in (queries, reports)]
+        chunks = [F.lit(max(1, -(-side.count() // cell_rows))) for side in (queries, reports)]
         queries, reports = (
             side.withColumn("key", F.lit(0).cast("bigint"))
             .withColumn("query_chunks", chunks[0])

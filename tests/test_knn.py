@@ -193,6 +193,14 @@ def test_copies_do_not_take_all_seeds(spark):
     assert ann.train_ivf(rows, lists=3, iterations=1).lists == 3
 
 
+def test_empty_tables(reports, queries):
+    nothing = reports.filter("id < 0")
+    assert knn.knn_join(queries, nothing, K).count() == 0
+    assert knn.knn_join(queries, nothing, K, **CELLS).count() == 0
+    with pytest.raises(ValueError, match="no vectors"):
+        ann.train_ivf(nothing, 4)
+
+
 def test_list_count_heuristic():
     assert ann.suggest_lists(10_000) == 100
     assert ann.suggest_lists(50_000_000) == 50_000
