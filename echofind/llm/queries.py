@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import line_crf
+from echofind.llm import line_crf, mixing
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,14 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = line_crf.score(documents, line_crf.train(documents, labels))
     predicted = F.when(F.col("score") >= GOOD, 1).otherwise(0)
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: doc_id, size, source_size, target, taken."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(documents)
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op4_fair_mix"] = mixing.MIX_SQL
