@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import line_crf, mixing
+from echofind.llm import line_crf, mixing, pii
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,11 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op4_fair_mix"] = mixing.MIX_SQL
+
+
+@query
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: doc_id, counts, base_sha256 and spans."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.digest(*pii.find(documents, ["doc_id"]))
+    return found.select("row.doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
