@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import line_crf, mixing, pii
+from echofind.llm import bpe, line_crf, mixing, pii
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,13 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.digest(*pii.find(documents, ["doc_id"]))
     return found.select("row.doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: doc_id, n_tokens and hashes of both."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(documents, path), path)
+    hashes = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return decoded.select("doc_id", "n_tokens", *hashes)
