@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, line_crf, mixing, pii
+from echofind.llm import bpe, line_crf, mixing, near_text, pii
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(documents, path), path)
     hashes = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return decoded.select("doc_id", "n_tokens", *hashes)
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: doc_id, class_id, n_links, kept."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_text.join(documents)
+    return found.select("doc_id", "class_id", "n_links", F.col("chosen").alias("kept"))
