@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, line_crf, mixing, near_text, pii
+from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,24 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_text.join(documents)
     return found.select("doc_id", "class_id", "n_links", F.col("chosen").alias("kept"))
+
+
+@query
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors: vec_id, n_links, component_id, kept."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op10_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) BETWEEN 0.93 AND 2),
+reach AS (SELECT a AS node, b AS other FROM p UNION SELECT r.node, p.b FROM reach r JOIN p ON p.a = r.other),
+c AS (SELECT node, MIN(other) AS least FROM reach GROUP BY node),
+n AS (SELECT a, COUNT(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, LEAST(vec_id, COALESCE(least, vec_id)) AS component_id,
+       vec_id <= COALESCE(least, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
+"""
