@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Arrow batches cut so that each holds about ``BLOCK_BYTES`` of text.
+def blocks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Arrow batches cut so that each holds about ``limit`` bytes of text.
 
     Yields the rows, their UTF-8 bytes and the offsets of each row's bytes. A
     NULL text counts as empty.
@@ -32,7 +34,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         ends = np.cumsum(sizes)
         while start < len(texts):
             gone = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, gone + BLOCK_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, gone + limit, "right")))
             part = texts.slice(start, stop - start)
             offsets = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, part.offset * 8)
             held = part.buffers()[2]
@@ -88,12 +90,22 @@ def _byte_values(seed: int) -> np.ndarray:
 _values: dict[int, np.ndarray] = {}
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the bytes stand."""
+def prefix_sums(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Running sums from which ``sum_hashes`` gets the hash of any byte span."""
     values = _values.setdefault(seed, _byte_values(seed))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return sums
+
+
+def sum_hashes(sums: np.ndarray, starts, ends) -> np.ndarray:
+    """64-bit hash of each span (by arrays or slices of ends), the same wherever the bytes stand."""
+    return mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(sums))[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span."""
+    return sum_hashes(prefix_sums(data, seed), starts, ends)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -51,6 +51,26 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def deal(members: DataFrame, group: str, node: str, size: str, chunk_size: int) -> DataFrame:
+    """``members`` of groups of two or more, dealt to blocks and sorted by them.
+
+    A group is cut into chunks whose sum of ``size`` stays near ``chunk_size``;
+    each pair of chunks is a block, so two members of a group meet in one. Adds
+    ``chunk``, ``block`` and ``same`` (both chunks are the same).
+    """
+    groups = members.groupBy(F.col(group).alias("_g")).agg(
+        F.ceil(F.sum(F.col(size) + F.lit(1)) / F.lit(chunk_size)).cast("int").alias("_chunks"), F.count("*").alias("_n")
+    )
+    # one member has nobody to be compared with
+    spread = members.join(groups.where("_n > 1"), F.col(group) == F.col("_g"))
+    spread = spread.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), F.col(node)), F.col("_chunks")).cast("int"))
+    dealt = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other"))
+    low, high = F.least("chunk", "_other"), F.greatest("chunk", "_other")
+    dealt = dealt.withColumn("block", F.xxhash64("_g", low, high)).withColumn("same", low == high)
+    dealt = dealt.drop("_g", "_chunks", "_n", "_other")
+    return dealt.repartition("block").sortWithinPartitions("block", "chunk", node)
+
+
 def link(
     members: DataFrame,
     group: str,
@@ -68,18 +88,7 @@ def link(
     boolean matrix of links. ``linked`` counts linked rows, copies included;
     the pairs connect what is linked.
     """
-    groups = members.groupBy(F.col(group).alias("_g")).agg(
-        F.ceil(F.sum(F.col(size) + F.lit(1)) / F.lit(chunk_size)).cast("int").alias("_chunks"), F.count("*").alias("_n")
-    )
-    # one member has nobody to be compared with
-    spread = members.join(groups.where("_n > 1"), F.col(group) == F.col("_g"))
-    spread = spread.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), F.col(node)), F.col("_chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    dealt = spread.select("*", other.alias("_other")).drop(group)
-    low, high = F.least("chunk", "_other"), F.greatest("chunk", "_other")
-    dealt = dealt.withColumn("block", F.xxhash64("_g", low, high)).withColumn("same", low == high)
-    dealt = dealt.drop("_g", "_chunks", "_n", "_other")
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "chunk", node)
+    dealt = deal(members, group, node, size, chunk_size).drop(group)
     kind = members.schema[node].dataType
     schema = StructType([StructField("node", kind), StructField("root", kind), StructField("linked", LongType())])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii
+from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii, repeats
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, LEAST(vec_id, COALESCE(l
        vec_id <= COALESCE(least, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
 """
+
+
+@query
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated passages: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
