@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii, repeats
+from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without repeated passages: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = repeats.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: doc_id, counts, base_sha256 and spans."""
+    found = secrets.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", *[f"n_{k}" for k in secrets.STRONG], "base_sha256", "spans")
