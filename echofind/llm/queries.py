@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
+from echofind.llm import bpe, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,18 @@ def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: doc_id, counts, base_sha256 and spans."""
     found = secrets.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", *[f"n_{k}" for k in secrets.STRONG], "base_sha256", "spans")
+
+
+@query
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: doc_id, license (of the best covered), coverage, n_notices, spans."""
+    found = licenses.notices(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    best = F.expr("array_max(transform(notices, n -> struct(n.coverage, -n.start, n.license)))")
+    spans = F.transform("notices", lambda n: F.concat_ws(":", n["license"], n["start"], n["end"]))
+    return found.select(
+        "row.doc_id",
+        best["license"].alias("license"),
+        F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"),
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(spans, ",").alias("spans"),
+    )
