@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bpe, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
+from echofind.llm import bm25, bpe, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,30 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("notices").cast("long").alias("n_notices"),
         F.array_join(spans, ",").alias("spans"),
     )
+
+
+@query
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20, itself included."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = documents.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.top_k(documents, queries)
+
+
+SQL["op1_bm25_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, COUNT(*) AS n FROM w GROUP BY doc_id, t),
+dl AS (SELECT doc_id, SUM(n) AS l FROM tf GROUP BY doc_id),
+df AS (SELECT t, COUNT(*) AS df FROM tf GROUP BY t),
+g AS (SELECT (SELECT COUNT(*) FROM documents)::DOUBLE AS n, (SELECT SUM(l) FROM dl)::DOUBLE / (SELECT COUNT(*) FROM documents) AS mean),
+s AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         ROUND(SUM(q.n * LN(1 + (g.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+                   * (d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)))), 6) AS score
+  FROM tf q JOIN tf d ON q.t = d.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = d.doc_id, g
+  WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
