@@ -34,7 +34,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """Target of each source, from ``source`` and ``source_size``.
+    """Number and target of each source, from ``source`` and ``source_size``.
 
     Sources by code point, NULL last, take the weights in turn. Targets share
     ``share`` times all sizes by weight; one that would pass ``repeats`` times its
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
     below = F.col("level") * F.col("weight") <= F.col("most")
     found = tried.withColumn("level", F.min(F.when(below, F.struct("turn", "level"))).over(everything)["level"])
     reached = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double")), F.col("most").cast("double"))
-    return found.select("source", "source_size", reached.alias("target"))
+    return found.select("source", F.row_number().over(order).alias("number"), "source_size", reached.alias("target"))
 
 
 def _offsets(sliced: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
@@ -82,36 +82,40 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     repeats: int = 2,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``row`` (the whole input row), ``size``, ``source_size``, ``target`` and ``taken`` per row.
+    """``row`` (the ``carry`` columns, default all), ``size``, ``source_size``, ``target`` and ``taken`` per row.
 
     ``documents`` has doc_id, source and text, and any other columns. ``taken`` is
     size times the number of copies in the mix, 0 to ``repeats``; the budget is
     ``share`` times all words.
     """
     rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or documents.columns]).alias("row"),
         F.col("source"),
         F.col("doc_id").alias("id"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mark"),
     )
-    per_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    # a narrow copy serves all sums; the whole rows are read once more, for their place in the queues
+    narrow = materialize(rows.select("source", "size", "mark"), "mix-sizes")
+    per_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    per_source = materialize(per_source, "mix-sources")
     wanted = targets(per_source.select("source", "source_size"), weights, share, repeats)
     plan = per_source.select(F.col("source").alias("s"), "n").join(wanted, F.col("s").eqNullSafe(F.col("source")))
-    plan = materialize(plan.select("s", "source_size", "target", F.ceil(F.col("n") / SLICE).alias("slices")), "mix-plan")
-
-    # a row's slice is the place of its hash among equal parts of the hash's range
-    place = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
-    rows = rows.withColumn("slice", F.floor(place * F.col("slices") / F.lit(1 << 32)))
-    queue = Window.partitionBy("source", "slice").orderBy("mark", F.col("id").asc_nulls_last(), "size")
-    rows = rows.withColumn("inside", F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = materialize(rows.drop("slices"), "mix-queues")
-    offsets = _offsets(rows, ["source"], "slice", "size")
-    offsets = offsets.select(F.col("source").alias("s"), F.col("slice").alias("at"), "before")
-    rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["s"]) & (rows["slice"] == offsets["at"]))
-    rows = rows.withColumn("words", F.col("before") + F.col("inside"))
+    plan = materialize(plan.select("s", "number", "source_size", "target", F.ceil(F.col("n") / SLICE).alias("slices")), "mix-plan")
+
+    def sliced(some: DataFrame) -> DataFrame:
+        # a row's slice is the place of its hash among equal parts of the hash's range
+        place = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
+        joined = some.join(plan, some["source"].eqNullSafe(plan["s"])).drop("s")
+        return joined.withColumn("slice", F.floor(place * F.col("slices") / F.lit(1 << 32))).drop("slices")
+
+    offsets = materialize(_offsets(sliced(narrow), ["number"], "slice", "size"), "mix-starts")
+    queue = Window.partitionBy("number", "slice").orderBy("mark", F.col("id").asc_nulls_last(), "size")
+    rows = sliced(rows).withColumn("inside", F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(offsets, ["number", "slice"]).withColumn("words", F.col("before") + F.col("inside"))
+    rows = materialize(rows.drop("inside", "before", "slice", "number", "id"), "mix-queues")
 
     budget = (per_source.agg(F.sum("source_size")).first()[0] or 0) * share
     copies = [rows.where("size > 0").select(*_place(k), "size") for k in range(repeats)]

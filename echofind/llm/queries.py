@@ -41,8 +41,7 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(documents)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
