@@ -29,7 +29,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from echofind.llm.common import blocks, span_hashes
 
 #: Text whose distinct pieces one replay handles.
-CORPUS_BYTES = 24 << 20
+CORPUS_BYTES = 8 << 20
+#: Text or ids that are worked on at a time.
+STEP_BYTES = 1 << 19
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _held: dict = {}
@@ -94,7 +96,7 @@ class Ranks:
     def __init__(self, text: bytes):
         tokens = {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line)}
         self.size = max(tokens.values()) + 1
-        self.byte = np.array([tokens[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in tokens.items():
             for cut in range(1, len(token)):
@@ -102,7 +104,7 @@ class Ranks:
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
         self.pair = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        self.rank = np.array([pairs[k] for k in sorted(pairs)], np.int32)
         length = np.zeros(self.size + 1, np.int64)
         for token, rank in tokens.items():
             length[rank + 1] = len(token)
@@ -114,9 +116,9 @@ class Ranks:
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of what each pair merges into, or -1."""
-        key = left * self.size + right
+        key = left * np.int64(self.size) + right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.rank[at], -1)
+        return np.where(self.pair[at] == key, self.rank[at], np.int32(-1))
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and the offsets of each row's bytes."""
@@ -130,13 +132,13 @@ def replay(data: np.ndarray, first: np.ndarray, ranks: Ranks) -> tuple[np.ndarra
     """Merge words, given as bytes with offsets: all ids, and the first id of each word."""
     n = len(data)
     ids = ranks.byte[data]
-    after = np.arange(1, n + 1)
-    before = np.arange(-1, n - 1)
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     after[first[1:][np.diff(first) > 0] - 1] = -1
     before[first[:-1][np.diff(first) > 0]] = -1
     alive = np.ones(n, bool)
-    here = np.full(n, -1, np.int64)  # rank of the pair that starts at a position
-    paired = np.flatnonzero(after >= 0)
+    here = np.full(n, -1, np.int32)  # rank of the pair that starts at a position
+    paired = np.flatnonzero(after >= 0).astype(np.int32)
     here[paired] = ranks.look_up(ids[paired], ids[paired + 1])
 
     index: dict[int, list[np.ndarray]] = {}
@@ -241,21 +243,33 @@ def _packed(documents: DataFrame, column: str, made: list[str]) -> tuple[DataFra
     return documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{column}`").alias("text")), kept
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """``documents`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit numbers) of ``text``."""
+def _cut(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
+
+
+def encode(documents: DataFrame, path: str, check: bool = False) -> DataFrame:
+    """``documents`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit numbers) of ``text``.
+
+    With ``check`` the ids are decoded again in the same visit to Python, into
+    ``decoded``.
+    """
     ranks = _shared_ranks(documents.sparkSession, path)
-    packed, kept = _packed(documents, "text", ["n_tokens", "ids"])
-    schema = StructType([packed.schema["row"], StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    made = ["n_tokens", "ids", "decoded"][: 2 + check]
+    packed, kept = _packed(documents, "text", made)
+    kinds = (LongType(), BinaryType(), BinaryType())
+    schema = StructType([packed.schema["row"], *[StructField(n, k) for n, k in zip(made, kinds)]])
 
     def encoded(batches):
         def flush(corpus):
             for rows, ids, first in corpus.encode(ranks()):
-                raw = ids.astype("<u4").tobytes()
-                cut = [raw[a:b] for a, b in zip((first[:-1] * 4).tolist(), (first[1:] * 4).tolist())]
-                yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), pa.array(cut, pa.binary())], ["row", "n_tokens", "ids"])
+                columns = [rows.column(0), pa.array(np.diff(first)), _cut(ids.astype("<u4").view(np.uint8), first * 4)]
+                if check:
+                    columns.append(_cut(*ranks().decode(ids, first)))
+                yield pa.record_batch(columns, ["row", *made])
 
         corpus = _Corpus()
-        for rows, data, offsets in blocks(batches):
+        for rows, data, offsets in blocks(batches, limit=STEP_BYTES):
             corpus.add(rows, data, offsets)
             if corpus.bytes >= CORPUS_BYTES:
                 yield from flush(corpus)
@@ -264,7 +278,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
             yield from flush(corpus)
 
     out = packed.mapInArrow(encoded, schema)
-    return out.select(*[F.col("row")[c].alias(c) for c in kept], "n_tokens", "ids")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *made)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -274,11 +288,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = StructType([packed.schema["row"], StructField("decoded", BinaryType())])
 
     def decoded(batches):
-        for rows, data, offsets in blocks(batches):
-            made, ends = ranks().decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), offsets // 4)
-            raw = made.tobytes()
-            cut = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.record_batch([rows.column(0), pa.array(cut, pa.binary())], ["row", "decoded"])
+        for rows, data, offsets in blocks(batches, limit=STEP_BYTES):
+            made = ranks().decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), offsets // 4)
+            yield pa.record_batch([rows.column(0), _cut(*made)], ["row", "decoded"])
 
     out = packed.mapInArrow(decoded, schema)
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "decoded")

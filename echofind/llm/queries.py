@@ -61,7 +61,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: doc_id, n_tokens and hashes of both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(documents, path), path)
+    decoded = bpe.encode(documents, path, check=True)
     hashes = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return decoded.select("doc_id", "n_tokens", *hashes)
 
