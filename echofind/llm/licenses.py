@@ -125,7 +125,7 @@ class Matcher:
         self.need = [max(1, int(np.ceil(least * len(w) - 1e-9))) for w in self.words]
         self.width = [int(np.ceil(len(w) * STRETCH)) for w in self.words]
         self.known = np.unique(np.array([w for ws in self.words for w in ws], np.uint64))
-        self.has = np.array([np.isin(self.known, np.array(ws, np.uint64)) for ws in self.words]).reshape(len(templates), -1)
+        self.has = np.array([np.isin(self.known, np.array(ws, np.uint64)) for ws in self.words]).reshape(len(templates), len(self.known))
 
     @staticmethod
     def word_hashes(raw: bytes):
