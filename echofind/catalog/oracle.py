@@ -194,6 +194,12 @@ ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 10""",
     "knn_hybrid_filter": f"""WITH {VECTORS}
 SELECT r.id, r.label, round({_dist('q.v', 'r.v')}, 5) AS distance FROM vectors q JOIN vectors r ON q.id = 0 AND r.label = 3
 ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 5""",
+    **dict.fromkeys(
+        ("hybrid_ivf", "hybrid_hashed"),
+        f"""WITH {VECTORS}
+SELECT r.id, r.label, round({_dist('q.v', 'r.v')}, 5) AS distance FROM vectors q JOIN vectors r ON q.id = 0 AND r.label = 3
+ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 5""",
+    ),
     "hybrid_two_filters": f"""WITH {DOCUMENTS}
 SELECT r.id, c.lang AS product, c.source AS component, round({_dist('q.v', 'r.v')}, 5) AS distance
 FROM doc_vectors q JOIN doc_vectors r ON q.id = 0 JOIN cleaned c ON c.id = r.id AND c.lang = 'en' AND c.source = 'src3'
@@ -259,6 +265,22 @@ FROM (SELECT doc_id, ['UNRESOLVED', 'RESOLVED', 'New', 'closed', 'Reopened', 'DU
     "validate_rejects": r"""SELECT doc_id, CASE WHEN lang = 'de' OR length(text) < 1 THEN 'summary is empty'
   WHEN length(split_part(text, chr(10), 1)) > 120 THEN 'component is longer than 120'
   WHEN length(split_part(text, '.', 1)) > 80 THEN 'architecture is longer than 80' END AS reason FROM documents""",
+    "vector_rejects": """SELECT vec_id, CASE WHEN label = 3 THEN 'embedding holds NULL' ELSE 'embedding has not 64 values' END AS reason
+FROM embeddings WHERE label % 2 = 1""",
+    "request_rejects": """SELECT conv_id, turn, CASE WHEN role <> 'user' OR length(text) < 2 THEN 'query is too short'
+  WHEN conv_id % 120 NOT BETWEEN 1 AND 100 THEN 'k is out of bounds' WHEN conv_id % 4 = 3 THEN 'unknown index_type' END AS reason
+FROM conversations""",
+    "run_rejects": """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown index_type'
+  WHEN event_id % 3 < 2 THEN 'k must be positive' END AS reason FROM events""",
+    "import_counts": """WITH u AS (SELECT CASE WHEN lang <> 'es' THEN md5(text) END AS e FROM documents)
+SELECT 0::BIGINT AS upload, count(DISTINCT e) + count(*) FILTER (e IS NULL) AS imported, count(e) - count(DISTINCT e) AS rejected FROM u
+UNION ALL SELECT 1, count(*) FILTER (e IS NULL), count(e) FROM u""",
+    "latency_with_gaps": """SELECT event_type, count(*) AS queries_evaluated, round(avg(ms), 5) AS average_latency_ms,
+  round(quantile_cont(ms, 0.95), 5) AS p95_latency_ms
+FROM (SELECT event_type, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 > 0 THEN value END
+  WHEN event_type <> 'click' THEN value END AS ms FROM events) GROUP BY event_type""",
+    "csv_by_header": """SELECT doc_id, text AS summary, CASE WHEN doc_id % 3 < 2 THEN lang END AS product,
+  CASE WHEN doc_id % 3 = 1 THEN source END AS component FROM documents""",
     "dedupe_external_id": """SELECT doc_id, external_id, external_id IS NOT NULL AND row_number() OVER (PARTITION BY external_id ORDER BY doc_id) > 1 AS is_repeat
 FROM (SELECT doc_id, CASE WHEN lang <> 'es' THEN md5(text) END AS external_id FROM documents)""",
     "stream_dedupe": """SELECT doc_id, external_id, 'external_id is not unique' AS reason

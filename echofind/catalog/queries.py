@@ -7,7 +7,10 @@ Reports are played by ``documents`` (lang = product, source = component) and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofind.functions import display, text, vectors
@@ -32,9 +35,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = _table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def _stream(spark: SparkSession, sf_dir: str, name: str, parts: Callable[[DataFrame], list[Column]] | None = None) -> DataFrame:
+    """A table as a stream; with ``parts`` (conditions) one micro-batch per part, in that order."""
+    table = _table(spark, sf_dir, name)
+    if parts is None:
+        return spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    folder = scratch_dir(spark, f"arriving-{name}")
+    for part in parts(table):
+        table.where(part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # files are taken in order of their time
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _thirds(docs: DataFrame) -> list[Column]:
+    """Three parts by doc_id."""
+    cut = [r * (docs.agg(F.max("doc_id")).first()[0] or 0) // 3 for r in (1, 2)]
+    return [F.col("doc_id") <= cut[0], F.col("doc_id").between(cut[0] + 1, cut[1]), F.col("doc_id") > cut[1]]
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -92,7 +108,7 @@ def knn_join(spark, sf_dir):
 def knn_join_cells(spark, sf_dir):
     """The same join by cells, as it runs when the queries are too many to broadcast."""
     reports = _vectors(spark, sf_dir)
-    return _ranked(knn.knn_join(_as_queries(reports), reports, K, broadcast_queries=0, cell_rows=1000))
+    return _ranked(knn.knn_join(_as_queries(reports), reports, K, broadcast_queries=0, cell_rows=100))
 
 
 def knn_hybrid_filter(spark, sf_dir):
@@ -218,6 +234,23 @@ def benchmark_sample(spark, sf_dir):
     return _rounded(evaluate.hit_rate(quality), "queries_evaluated")
 
 
+def hybrid_ivf(spark, sf_dir):
+    """A filtered search that probes every list: the same as without lists."""
+    reports = _vectors(spark, sf_dir)
+    found = search.hybrid_search(
+        reports, _first_vector(spark, sf_dir), {"label": 3}, 5, ("label",), DIM, "ivfflat", _ivf(reports), probes=LISTS
+    )
+    return found.select("id", "label", F.round("distance", 5).alias("distance"))
+
+
+def hybrid_hashed(spark, sf_dir):
+    """A filtered search by hashing that probes every bucket: the same as without."""
+    found = search.hybrid_search(
+        _vectors(spark, sf_dir), _first_vector(spark, sf_dir), {"label": 3}, 5, ("label",), DIM, "hnsw", ann.LshIndex(DIM, bits=2), flips=2
+    )
+    return found.select("id", "label", F.round("distance", 5).alias("distance"))
+
+
 def sample_reports(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
     return evaluate.sample_reports(docs.select("id", "source"), 20)
@@ -366,6 +399,75 @@ def validate_rejects(spark, sf_dir):
     return docs.select("doc_id", validate.report_reason().alias("reason"))
 
 
+def vector_rejects(spark, sf_dir):
+    """Vectors of a wrong length, and with a NULL, among an upload; even labels are right."""
+    vector = F.col("embedding")
+    upload = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("position"),
+        F.lit("x").alias("summary"),
+        F.when(F.col("label") % 2 == 0, vector)
+        .when(F.col("label") == 1, F.slice(vector, 1, DIM - 1))
+        .when(F.col("label") == 3, F.transform(vector, lambda x: F.when(x > 0, x)))
+        .when(F.col("label") == 5, F.concat(vector, vector))
+        .alias("embedding"),
+    )
+    _, rejects = ingest.accept_reports(upload, tables.read_table(spark, scratch_dir(spark, "none")), DIM)
+    return rejects.select(F.col("position").alias("vec_id"), "reason")
+
+
+def request_rejects(spark, sf_dir):
+    """Requests out of bounds, made of conversations."""
+    kinds = F.array(*[F.lit(k) for k in ("exact", "hnsw", "ivfflat", "flat")])
+    requests = _table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit("x")).alias("query"),
+        (F.col("conv_id") % 120).cast("int").alias("k"),
+        F.element_at(kinds, (F.col("conv_id") % 4 + 1).cast("int")).alias("index_type"),
+    )
+    return requests.select("conv_id", "turn", validate.request_reason().alias("reason"))
+
+
+def run_rejects(spark, sf_dir):
+    """Benchmark runs that may not be stored, made of events."""
+    runs = _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "click", F.lit("hnsw")).when(F.col("event_type") == "view", F.lit("exact")).alias("index_type"),
+        (F.col("event_id") % 3 - 1).cast("int").alias("k"),
+    )
+    return runs.select("event_id", validate.run_reason().alias("reason"))
+
+
+def import_counts(spark, sf_dir):
+    """Rows imported and rejected, of an upload and of the same once more."""
+    table = scratch_dir(spark, "reports")
+    upload = _uploads(_table(spark, sf_dir, "documents"))
+    loads = [ingest.load_reports(upload, table) for _ in range(2)]
+    rows = [(n, load.imported, load.rejects.count()) for n, load in enumerate(loads)]
+    return spark.createDataFrame(rows, "upload bigint, imported bigint, rejected bigint")
+
+
+def latency_with_gaps(spark, sf_dir):
+    """Latencies of which clicks have none and views miss some."""
+    value = F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 3 > 0, F.col("value")))
+    value = value.when(F.col("event_type") != "click", F.col("value"))
+    summary = evaluate.latency_summary(_table(spark, sf_dir, "events").withColumn("ms", value), "ms", "event_type")
+    return _rounded(summary, "event_type", "queries_evaluated")
+
+
+def csv_by_header(spark, sf_dir):
+    """Files whose columns stand in different order, or are absent."""
+    path = scratch_dir(spark, "uploads") + ".csv"
+    docs = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("bug_id"), F.col("text").alias("summary"), F.col("lang").alias("product"), F.col("source").alias("component")
+    )
+    orders = (["bug_id", "summary", "product"], ["product", "bug_id", "component", "summary"], ["summary", "bug_id"])
+    for n, order in enumerate(orders):
+        csv.write_csv(docs.where(F.col("bug_id").cast("bigint") % 3 == n).select(order), f"{path}/{n}")
+    back = csv.read_upload(spark, f"{path}/*/*.csv")
+    return back.select(F.col("bug_id").cast("bigint").alias("doc_id"), "summary", "product", "component")
+
+
 def dedupe_external_id(spark, sf_dir):
     docs = _uploads(_table(spark, sf_dir, "documents"))
     keyed = docs.select("position", text.blank_to_null(F.col("external_id")).alias("external_id"))
@@ -464,28 +566,33 @@ def bulk_load(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     table, checkpoint = scratch_dir(spark, "reports"), scratch_dir(spark, "checkpoint")
-    streaming.ingest_stream(_uploads(_stream(spark, sf_dir, "documents")), table, checkpoint).awaitTermination()
+    arriving = _uploads(_stream(spark, sf_dir, "documents", _thirds))
+    streaming.ingest_stream(arriving, table, checkpoint).awaitTermination()
     return _stored(streaming.read_batches(spark, table, BUG_REPORTS))
 
 
 def stream_dedupe(spark, sf_dir):
     table, checkpoint = scratch_dir(spark, "reports"), scratch_dir(spark, "checkpoint")
-    streaming.ingest_stream(_uploads(_stream(spark, sf_dir, "documents")), table, checkpoint).awaitTermination()
+    arriving = _uploads(_stream(spark, sf_dir, "documents", _thirds))
+    streaming.ingest_stream(arriving, table, checkpoint).awaitTermination()
     return spark.read.parquet(f"{table}_rejects").select(F.col("position").alias("doc_id"), "external_id", "reason")
 
 
 def stream_match(spark, sf_dir):
     target, checkpoint = scratch_dir(spark, "matches"), scratch_dir(spark, "checkpoint")
-    arrivals = _as_queries(_stream(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"))
-    streaming.match_stream(arrivals, _vectors(spark, sf_dir), target, checkpoint, K).awaitTermination()
+    halves = [F.col("vec_id") % 2 == 0, F.col("vec_id") % 2 == 1]
+    arrivals = _as_queries(_stream(spark, sf_dir, "embeddings", lambda _: halves).withColumnRenamed("vec_id", "id"))
+    streaming.match_stream(arrivals, lambda: _vectors(spark, sf_dir), target, checkpoint, K).awaitTermination()
     return _ranked(spark.read.parquet(target))
 
 
 def stream_upsert(spark, sf_dir):
+    """The last turn of each conversation; odd turns arrive first, so half of the even ones come late."""
     table, checkpoint = scratch_dir(spark, "states"), scratch_dir(spark, "checkpoint")
-    turns, columns = _stream(spark, sf_dir, "conversations"), ["turn", "role", "text"]
+    turns = _stream(spark, sf_dir, "conversations", lambda _: [F.col("turn") % 2 == 1, F.col("turn") % 2 == 0])
+    columns = ["turn", "role", "text"]
     streaming.upsert_stream(turns, table, checkpoint, "conv_id", columns, ["turn"]).awaitTermination()
-    latest = streaming.read_latest(spark, table, streaming.state_schema(turns, "conv_id", columns), "conv_id")
+    latest = streaming.read_latest(spark, table, streaming.state_schema(turns, "conv_id", columns), "conv_id", ["turn"])
     return latest.select("conv_id", *columns)
 
 
@@ -509,13 +616,14 @@ def stream_watermark(spark, sf_dir):
 ALL = {
     f.__name__: f
     for f in (
-        knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, search_exclude_self, text_search,
+        knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_candidates, lsh_search,
         duplicate_pairs, duplicate_pairs_hashed, duplicate_reports,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,
         vector_text_roundtrip, seed_vectors, similarity_band, status_class,
-        validate_rejects, dedupe_external_id, alias_columns, upsert_latest, assign_report_ids,
+        validate_rejects, vector_rejects, request_rejects, run_rejects, import_counts, latency_with_gaps, csv_by_header,
+        dedupe_external_id, alias_columns, upsert_latest, assign_report_ids,
         csv_roundtrip, clean_dataset, jsonl_export, bulk_load,
         stream_ingest, stream_dedupe, stream_match, stream_upsert, stream_watermark,
     )

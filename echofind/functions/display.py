@@ -12,10 +12,6 @@ BANDS = ((90, "Very high"), (75, "High"), (55, "Moderate"))
 LOWEST_BAND = "Low"
 
 
-def first_present(*values: Column) -> Column:
-    return F.coalesce(*values)
-
-
 def similarity_of(similarity: Column, distance: Column) -> Column:
     """The similarity, or 1 - distance where it is missing or zero, else 0."""
     given = F.when(similarity != 0, similarity)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from echofind.functions.vectors import distance_units, matrix, unit_rows
 from echofind.operators import knn
+from echofind.operators.evaluate import first_by_hash
 from echofind.session import materialize
 
 # The dials of the two index types.
@@ -31,7 +33,6 @@ PROBES = 20
 TABLES = 8
 BITS = 8
 FLIPS = 2
-SEED_OVERSAMPLING = 8
 INDEX_BYTES = 64 * 1024 * 1024
 MOST_BITS = 48
 
@@ -93,21 +94,24 @@ def train_ivf(reports: DataFrame, lists: int = LISTS, iterations: int = 2, fract
 
 
 def _seeds(vectors: DataFrame, lists: int) -> np.ndarray:
-    """The first distinct vectors in md5 order of the ids, at most ``lists``.
+    """The first ``lists`` distinct vectors in md5 order of the ids.
 
-    Reads a few times as many rows as needed; more while copies crowd out the
-    rest, up to the size an index may have.
+    A bound on the hash leaves a few times as many rows; it is raised while
+    copies crowd out the rest. Warns if the table has fewer distinct vectors.
     """
-    ordered = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").select("embedding")
-    rows = lists * SEED_OVERSAMPLING
-    while True:
-        head = matrix(ordered.limit(rows).toArrow()["embedding"])
-        seeds = _distinct_rows(head[head.any(axis=1)])[:lists]
-        if len(seeds) == 0 and len(head) < rows:
-            raise ValueError("there are no vectors to train on")
-        if len(seeds) == lists or len(head) < rows or head.nbytes * 2 > INDEX_BYTES:
-            return seeds
-        rows *= 2
+    mark = F.md5(F.col("id").cast("string"))
+    marked = vectors.where(F.exists("embedding", lambda x: x != 0)).select(mark.alias("mark"), "id", "embedding")
+
+    def distinct(some: DataFrame) -> DataFrame:
+        return some.groupBy("embedding").agg(F.min(F.struct("mark", "id")).alias("first"))
+
+    some = first_by_hash(marked, F.col("mark"), lists, lambda rows: distinct(rows).count())
+    seeds = matrix(distinct(some).orderBy("first").limit(lists).select("embedding").toArrow()["embedding"])
+    if len(seeds) == 0:
+        raise ValueError("there are no vectors to train on")
+    if len(seeds) < lists:
+        warnings.warn(f"only {len(seeds)} distinct vectors for {lists} lists", stacklevel=3)
+    return seeds
 
 
 def _new_centroids(vectors: DataFrame, index: IvfIndex) -> np.ndarray:
@@ -268,8 +272,3 @@ def _sum_rows(total: np.ndarray) -> pa.RecordBatch:
     offsets = np.arange(len(used) + 1, dtype=np.int32) * total.shape[1]
     totals = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total[used].ravel()))
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), totals], names=["list_id", "total"])
-
-
-def _distinct_rows(rows: np.ndarray) -> np.ndarray:
-    _, first = np.unique(rows, axis=0, return_index=True)
-    return rows[np.sort(first)]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofind.session import broadcast_if_small, materialize
 
 _ACCURACY = 100_000  # rank error of the sketch: 1 / 100,000 of the rows
-_BRACKET = 3 / _ACCURACY
 _MOST_GROUPS = 1_000_000
-SMALL_LOG = 1_000_000
 
 CUTOFFS = (1, 5, 10)
 MIN_DEPTH = 10
@@ -21,9 +19,28 @@ def search_depth(k: int) -> int:
     return max(k, MIN_DEPTH)
 
 
+def first_by_hash(df: DataFrame, mark: Column, size: int, enough=None) -> DataFrame:
+    """The rows among which the ``size`` smallest by the hex hash ``mark`` are.
+
+    A bound on the hash keeps a few times ``size`` rows, so a following sort and
+    limit sees few rows however large the table is. The bound is raised until
+    ``enough`` (rows, if not given) counts ``size`` or the whole table is in.
+    """
+    total = df.count()
+    kept = 4 * size + 64
+    while kept < total:
+        bound = f"{int(kept / total * 0xFFFFFFFF):08x}"
+        some = df.where(F.substring(mark, 1, 8) <= bound)
+        if (enough(some) if enough else some.count()) >= size:
+            return some
+        kept *= 4
+    return df
+
+
 def sample_reports(reports: DataFrame, size: int, seed: str = "") -> DataFrame:
     """``size`` reports in md5 order of their ids: the same rows on every run."""
-    return reports.orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), "id").limit(size)
+    mark = F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))
+    return first_by_hash(reports, mark, size).orderBy(mark, "id").limit(size)
 
 
 def compare(truth: DataFrame, actual: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
@@ -68,46 +85,45 @@ def latency_summary(log: DataFrame, latency: str, *groups: str, p: float = 0.95)
     )
 
 
-def percentile(df: DataFrame, value: str, p: float, *groups: str, small: int = SMALL_LOG) -> DataFrame:
+def percentile(df: DataFrame, value: str, p: float, *groups: str, accuracy: int = _ACCURACY) -> DataFrame:
     """(groups, rows, mean, percentile), interpolated and exact.
 
-    Spark's own exact percentile holds the values of a group in one task, so
-    it is used up to ``small`` rows only. Beyond, a sketch first brackets the percentile of each group between two values
-    closely around it. A second pass counts what lies below the bracket and
-    the distinct values within, a tiny share of the rows; only those are put
-    in order.
+    NULL and NaN count as rows only; a group without any other value has a NULL
+    mean and percentile. A sketch first brackets the percentile of each group
+    between two values closely around it. A second pass counts what lies below
+    the bracket and the distinct values within, a tiny share of the rows; only
+    those are put in order.
     """
-    values = df.select(F.struct(F.lit(0), *groups).alias("_group"), F.col(value).cast("double").alias("_x"))
-    values = values.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if values.count() <= small:
-        exact = [F.count("*").alias("rows"), F.avg("_x").alias("mean"), F.percentile("_x", p).alias("percentile")]
-        return values.groupBy("_group").agg(*exact).select(
-            *[F.col("_group")[g].alias(g) for g in groups], "rows", "mean", "percentile"
-        )
-    ends = F.array(F.lit(max(p - _BRACKET, 0.0)), F.lit(min(p + _BRACKET, 1.0)))
+    number = F.col(value).cast("double")
+    values = df.select(F.struct(F.lit(0), *groups).alias("_group"), F.when(~F.isnan(number), number).alias("_x"))
+    margin = 3 / accuracy
+    ends = F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0)))
     brackets = values.groupBy("_group").agg(
-        F.count("*").alias("rows"), F.avg("_x").alias("mean"), F.percentile_approx("_x", ends, _ACCURACY).alias("_ends")
+        F.count("*").alias("_all"),
+        F.count("_x").alias("rows"),
+        F.avg("_x").alias("mean"),
+        F.percentile_approx("_x", ends, accuracy).alias("_ends"),
     )
     # A small group is ordered whole: there the next rank may lie outside the bracket.
     everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
-    few = F.col("rows") <= _ACCURACY
-    brackets = brackets.withColumn("_ends", F.when(few, everything).otherwise(F.col("_ends")))
+    brackets = brackets.withColumn("_ends", F.when(F.col("rows") <= accuracy, everything).otherwise(F.col("_ends")))
     brackets = materialize(brackets, "brackets")
     low, high = F.col("_ends")[0], F.col("_ends")[1]
     # Values under the bracket count under one stand-in, so that they combine before the shuffle.
-    placed = values.join(broadcast_if_small(brackets.select("_group", "_ends"), _MOST_GROUPS), "_group")
+    known = values.where("_x IS NOT NULL")
+    placed = known.join(broadcast_if_small(brackets.select("_group", "_ends"), _MOST_GROUPS), "_group")
     placed = placed.withColumn("_at", F.when(F.col("_x") >= low, F.col("_x")).otherwise(F.lit(float("-inf"))))
     counts = placed.filter(F.col("_x") <= high).groupBy("_group", "_at").agg(F.count("*").alias("_n"))
     through = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at"))
-    ordered = counts.withColumn("_through", through).join(brackets.select("_group", "rows", "mean"), "_group")
+    ordered = counts.withColumn("_through", through).join(brackets.select("_group", "rows"), "_group")
     place = (F.col("rows") - 1) * p
     lower = F.min(F.when(F.col("_through") > F.floor(place), F.col("_at")))
     upper = F.min(F.when(F.col("_through") > F.ceil(place), F.col("_at")))
-    found = ordered.groupBy("_group", "rows", "mean").agg(lower.alias("_lower"), upper.alias("_upper"))
+    found = ordered.groupBy("_group").agg(lower.alias("_lower"), upper.alias("_upper"))
     share = place - F.floor(place)
-    return found.select(
+    return brackets.join(found, "_group", "left").select(
         *[F.col("_group")[g].alias(g) for g in groups],
-        "rows",
+        F.col("_all").alias("rows"),
         "mean",
         (F.col("_lower") + share * (F.col("_upper") - F.col("_lower"))).alias("percentile"),
     )

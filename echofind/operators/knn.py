@@ -31,7 +31,7 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_KEYS = 4_000_000
 CELL_ROWS = 50_000
-TASKS_PER_CORE = 4
+TASK_BYTES = 1 << 30
 
 
 def nearest(reports: DataFrame, vector: Sequence[float], k: int = 5, dim: int | None = None) -> DataFrame:
@@ -78,14 +78,17 @@ def knn_join(
         F.col("exclude_id").cast("bigint").alias("exclude_id"),
         *[F.col(c).alias(c) for c in ["embedding", *extra]],
     )
-    head = queries.limit(broadcast_queries + 1).toArrow()
-    small = head.num_rows <= broadcast_queries and head["embedding"].nbytes * 2 <= BROADCAST_BYTES
+    # their size is known before any of them comes to the driver
+    queries = materialize(queries, "queries")
+    n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("bigint")), F.lit(0))).first()
+    small = n <= broadcast_queries and values * 8 <= BROADCAST_BYTES
+    head = queries.toArrow() if small else None
     if small and key_column:
         reports = reports.filter(F.col(key_column).isin(head["keys"].combine_chunks().flatten().unique().to_pylist()))
     reports = reports.select(
         F.col("id").cast("bigint").alias("id"), *[F.col(c).alias(c) for c in ["embedding", *extra]]
     )
-    if head.num_rows == 0:
+    if n == 0:
         hits = queries.sparkSession.createDataFrame([], HITS)
     elif small:
         hits = _broadcast_hits(QueryBlock.of(head, filters, keyed), reports, k, filters, keyed)
@@ -118,10 +121,11 @@ def _broadcast_hits(block: QueryBlock, reports: DataFrame, k: int, filters, keye
             score(queries, ReportBlock(batch, k, filters, keyed), best, keyed)
         yield best.to_batch(queries.ids)
 
-    # A task emits k rows per query however much it reads, so a huge scan goes
-    # into few long tasks: the hits to shuffle do not grow with the table.
-    most_tasks = TASKS_PER_CORE * reports.sparkSession.sparkContext.defaultParallelism
-    return reports.coalesce(most_tasks).mapInArrow(run, HITS)
+    # A task emits k rows per query however much it reads, so small splits are
+    # read together: a task for every TASK_BYTES of input, by Spark's estimate.
+    size = int(str(reports._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least_tasks = reports.sparkSession.sparkContext.defaultParallelism
+    return reports.coalesce(max(least_tasks, min(size // TASK_BYTES, 1 << 20))).mapInArrow(run, HITS)
 
 
 def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: bool, cell_rows: int) -> DataFrame:
@@ -146,7 +150,11 @@ def _cell_hits(queries: DataFrame, reports: DataFrame, k: int, filters, keyed: b
         cells = max(-(-max(sizes) // cell_rows), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         queries, reports = (_with_cell(side.join(hot, "key", "left"), cells) for side in (queries, reports))
     else:
-        chunks = [F.lit(max(1, -(-side.count() // cell_rows))) for side in (queries, reports)]
+        chunks = [max(1, -(-side.count() // cell_rows)) for side in (queries, reports)]
+        # as many cells as there are partitions, or the rest of the cluster would wait
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks[1] = max(chunks[1], -(-parts // chunks[0]))
+        chunks = [F.lit(c) for c in chunks]
         queries, reports = (
             side.withColumn("key", F.lit(0).cast("bigint"))
             .withColumn("query_chunks", chunks[0])
@@ -202,18 +210,18 @@ def _cut(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
     )
 
 
-def equal_to(filters: dict[str, object] | None, allowed: Sequence[str]) -> Column:
-    """AND of equality tests on allowed columns; no filters gives TRUE."""
+def equal_to(
+    filters: dict[str, object] | None, allowed: Sequence[str], stored: dict[str, str] | None = None
+) -> Column:
+    """AND of equality tests on allowed columns; no filters gives TRUE.
+
+    ``stored`` names the columns that are kept under another name.
+    """
     filters = filters or {}
     unknown = sorted(set(filters) - set(allowed))
     if unknown:
         raise ValueError(f"cannot filter on {', '.join(unknown)}; allowed: {', '.join(allowed)}")
     condition = F.lit(True)
     for name, value in filters.items():
-        condition = condition & (F.col(name) == value)
+        condition = condition & (F.col((stored or {}).get(name, name)) == value)
     return condition
-
-
-def optional_equal(**wanted) -> Column:
-    """Like :func:`equal_to` for any column; None and '' mean no filter."""
-    return equal_to({c: v for c, v in wanted.items() if v}, tuple(wanted))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofind.schemas import DEFAULT_STATUS, INDEX_TYPES, MAX_LENGTHS, RAW_COLUMNS
+from echofind.session import broadcast_if_small, materialize
 
-HOT_KEYS = 10_000
+MOST_HOT_KEYS = 1_000_000
 HOT_ROWS = 100_000
 
 
@@ -106,10 +107,12 @@ def with_defaults(df: DataFrame) -> DataFrame:
 def mark_repeats(df: DataFrame, key: str, position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``is_repeat``: an earlier row has the same non-NULL key.
 
-    First positions come from a pre-aggregated groupBy. Keys with very many
-    rows, at most ``HOT_KEYS`` of them, come to their rows by broadcast; those
-    rows and rows without a key take part in the remaining join under a NULL
-    key and a salt, so they spread over all tasks and match nothing.
+    ``position`` may be a column or a struct that orders the rows. First positions
+    come from a pre-aggregated groupBy. Keys with over ``hot_rows`` rows come to
+    their rows by broadcast (there are at most rows / ``hot_rows`` of them; with
+    too many the join is left to Spark); those rows and rows without a key take
+    part in the remaining join under a NULL key and a salt, so they spread over
+    all tasks and match nothing.
     """
     firsts = (
         df.filter(F.col(key).isNotNull())
@@ -117,13 +120,9 @@ def mark_repeats(df: DataFrame, key: str, position: str, hot_rows: int = HOT_ROW
         .agg(F.min(position).alias("_first"), F.count("*").alias("_rows"))
         .filter("_rows > 1")
     )
-    hot = (
-        firsts.filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), "_key")
-        .limit(HOT_KEYS)
-        .select(F.col("_key").alias("_hot_key"), F.col("_first").alias("_hot_first"))
-    )
-    rows = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    hot = firsts.filter(F.col("_rows") > hot_rows)
+    hot = materialize(hot.select(F.col("_key").alias("_hot_key"), F.col("_first").alias("_hot_first")), "hot-keys")
+    rows = df.join(broadcast_if_small(hot, MOST_HOT_KEYS), F.col(key) == F.col("_hot_key"), "left")
     spread_out = F.col(key).isNull() | F.col("_hot_key").isNotNull()
     rows = rows.withColumn("_join_key", F.when(~spread_out, F.col(key))).withColumn(
         "_salt", F.when(spread_out, F.xxhash64(position)).otherwise(F.lit(0).cast("bigint"))
@@ -143,7 +142,7 @@ def stored_keys(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     The stored table is the left side and gives one column only: a batch that
     Spark finds small enough is broadcast to it, and the table stays in place.
     """
-    wanted = df.select(F.col(key).alias("_wanted")).filter(F.col("_wanted").isNotNull())
+    wanted = df.select(F.col(key).alias("_wanted")).filter(F.col("_wanted").isNotNull()).distinct()
     return stored.select(key).join(wanted, F.col(key) == F.col("_wanted"), "left_semi").distinct()
 
 

@@ -17,6 +17,8 @@ from echofind.session import materialize
 from echofind.sources import csv, jsonl, tables
 
 NOT_UNIQUE = "external_id is not unique"
+#: The column that tells the rows of an upload apart.
+ROW = "row_number"
 
 
 class Load(NamedTuple):
@@ -24,24 +26,26 @@ class Load(NamedTuple):
     rejects: DataFrame
 
 
-def accept_reports(upload: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def accept_reports(upload: DataFrame, stored: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rejects with ``reason``) of an upload, by all table rules.
 
-    Rows keep their ``position`` in the upload. The first row of a repeated
-    external_id is kept, unless the id is stored already.
+    Rows keep their ``position`` in the upload, and get a number of their own
+    (``row_number``): positions may repeat. The first row of a repeated
+    external_id, by both, is kept, unless the id is stored already. Vectors that
+    come with the upload must have ``dim`` values.
     """
-    positioned = upload if "position" in upload.columns else upload.withColumn(
-        "position", F.monotonically_increasing_id()
-    )
-    rows = materialize(service_columns(positioned), "upload")
-    valid, invalid = split(rows, report_reason())
-    # Uniqueness is judged on positions and keys only; whole rows are not shuffled for it.
-    keys = valid.select("position", "external_id").filter("external_id IS NOT NULL")
-    again = mark_repeats(keys, "external_id", "position").filter("is_repeat")
+    if "position" not in upload.columns:
+        upload = upload.withColumn("position", F.monotonically_increasing_id())
+    numbered = upload.withColumn(ROW, F.monotonically_increasing_id())
+    rows = materialize(service_columns(numbered), "upload")  # written, so numbers stay
+    valid, invalid = split(rows, report_reason(dim if "embedding" in upload.columns else None))
+    # Uniqueness is judged on numbers and keys only; whole rows are not shuffled for it.
+    keys = valid.select(ROW, F.struct("position", ROW).alias("place"), "external_id").filter("external_id IS NOT NULL")
+    again = mark_repeats(keys, "external_id", "place").filter("is_repeat")
     known = keys.join(stored_keys(keys, stored, "external_id"), "external_id")
-    repeated = materialize(again.select("position").union(known.select("position")).distinct(), "repeated")
-    not_unique = valid.join(repeated, "position", "left_semi").withColumn("reason", F.lit(NOT_UNIQUE))
-    return valid.join(repeated, "position", "left_anti"), invalid.unionByName(not_unique)
+    repeated = materialize(again.select(ROW).union(known.select(ROW)).distinct(), "repeated")
+    not_unique = valid.join(repeated, ROW, "left_semi").withColumn("reason", F.lit(NOT_UNIQUE))
+    return valid.join(repeated, ROW, "left_anti"), invalid.unionByName(not_unique).drop(ROW)
 
 
 def load_reports(
@@ -56,10 +60,10 @@ def load_reports(
     """
     spark = upload.sparkSession
     stored = tables.read_table(spark, table)
-    accepted, rejects = accept_reports(upload, stored)
+    accepted, rejects = accept_reports(upload, stored, embedder.dim if embedder else DIMENSION)
     if on_reject == "fail" and (first := rejects.first()) is not None:
         raise ValueError(f"nothing imported: {first.reason}")
-    numbered = assign_ids(accepted, ["position"], tables.last_id(stored))
+    numbered = assign_ids(accepted, ["position", ROW], tables.last_id(stored))
     reports = with_cleaned_text(numbered)
     if "embedding" not in reports.columns:
         reports = with_embedding(reports, embedder)
@@ -70,9 +74,17 @@ def load_reports(
 def add_report(
     spark: SparkSession, table: str, summary: str, embedding: Sequence[float] | None = None, embedder: Embedder | None = None, **fields: str
 ) -> int | None:
-    """One report, optionally with its vector; its id, or None if a rule rejects it."""
+    """One report, optionally with its vector; its id, or None if a rule rejects it.
+
+    ``fields`` are columns of an upload, or ``reported_at`` (a datetime).
+    """
+    unknown = sorted(set(fields) - set(UPLOAD_COLUMNS) - {"reported_at"})
+    if unknown:
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
     row = {"summary": summary, **{n: fields.get(n) for n in UPLOAD_COLUMNS if n != "summary"}}
     upload = spark.createDataFrame([tuple(row.values())], strings(row))
+    if fields.get("reported_at") is not None:
+        upload = upload.withColumn("reported_at", F.lit(fields["reported_at"]).cast("timestamp"))
     if embedding is not None:
         check_vector(embedding, embedder.dim if embedder else DIMENSION)
         upload = upload.withColumn("embedding", F.lit(list(embedding)).cast("array<float>"))

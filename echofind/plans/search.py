@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from echofind.functions.embed import Embedder, embed_report
 from echofind.functions.text import blank_to_null
 from echofind.operators import ann, knn
-from echofind.operators.validate import check_index_type, check_search, request_reason, split
+from echofind.operators.validate import check_index_type, check_search, check_vector, request_reason, split
 from echofind.schemas import FILTER_COLUMNS
 from echofind.session import broadcast_if_small, materialize
 
 DEFAULT_K = 10
 BROADCAST_HITS = 2_000_000
 FILTERS = ("product", "component")
+# Fixed value: what the request calls a column that is stored under another name.
+STORED_NAMES = {"component_type": "component"}
 
 
 def neighbours(
@@ -59,18 +61,32 @@ def search(
     '' and NULL mean no filter; 0 and NULL exclude nothing. Results hold the
     report without its vector, the rank and the similarity. Ranking reads ids,
     vectors and filter columns only; the rest is joined to the few rows found.
+    A column ``index_type`` gives each request its own method (NULL: the
+    argument); ``index`` is then a dict with an index per method.
     """
-    checked = requests.withColumn("index_type", F.lit(index_type))
+    own = F.col("index_type") if "index_type" in requests.columns else F.lit(None).cast("string")
+    checked = requests.withColumn("index_type", F.coalesce(own, F.lit(index_type)))
     accepted, rejects = split(checked, request_reason())
     queries = accepted.select(
         "query_id",
         "k",
+        "index_type",
         *[blank_to_null(F.col(f)).alias(f) for f in FILTERS],
         F.nullif(F.col("exclude_id"), F.lit(0)).alias("exclude_id"),
         embed_report(F.col("query"), embedder).alias("embedding"),
     )
     deepest = accepted.agg(F.max("k").alias("k")).first().k or DEFAULT_K
-    hits = neighbours(queries, reports, deepest, index_type, index, FILTERS, **options)
+    if "index_type" in requests.columns:
+        queries = materialize(queries, "requests")
+        modes = [r.index_type for r in queries.select("index_type").distinct().collect()]  # three at most
+    else:
+        modes = [index_type]
+    hits = None
+    for mode in modes or [index_type]:
+        mine = queries.where(F.col("index_type") == mode).drop("index_type")
+        some = index.get(mode) if isinstance(index, dict) else index
+        part = neighbours(mine, reports, deepest, mode, some, FILTERS, **options)
+        hits = part if hits is None else hits.union(part)
     wanted = accepted.select("query_id", F.col("k").alias("_k"))
     hits = hits.join(wanted, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
     return with_reports(hits, reports), rejects
@@ -115,6 +131,22 @@ def hybrid_search(
     k: int = 5,
     allowed: Sequence[str] = FILTER_COLUMNS,
     dim: int | None = None,
+    index_type: str = "exact",
+    index: ann.IvfIndex | ann.LshIndex | None = None,
+    **dials,
 ) -> DataFrame:
-    """Filter by equality, then rank by distance. The filter reaches the scan."""
-    return knn.nearest(reports.filter(knn.equal_to(filters, allowed)), vector, k, dim)
+    """Filter by equality, then rank by distance, exactly or with an index and its dials.
+
+    The filter reaches the scan. ``component_type`` means the stored table's
+    ``component`` where reports have no column of that name.
+    """
+    check_index_type(index_type)
+    test = knn.equal_to(filters, allowed, {n: STORED_NAMES.get(n, n) for n in allowed if n not in reports.columns})
+    some = reports.filter(test)
+    if index_type == "exact":
+        return knn.nearest(some, vector, k, dim)
+    check_vector(vector, dim)
+    query = reports.sparkSession.createDataFrame([(0, list(vector))], "query_id bigint, embedding array<float>")
+    hits = materialize(neighbours(query, some, k, index_type, index, **dials), "hits")
+    found = some.join(F.broadcast(hits.select("id", "distance", "rank")), "id")  # k rows
+    return found.orderBy("rank").drop("rank")

@@ -48,10 +48,6 @@ def strings(names) -> T.StructType:
 
 
 RAW_REPORT = strings(RAW_COLUMNS)
-CLEAN_REPORT = T.StructType(
-    [T.StructField("bug_id", T.LongType())]
-    + [T.StructField(n, T.StringType()) for n in RAW_COLUMNS[1:] + ("embedding_text",)]
-)
 # Values are never NULL: rows that hold one are rejected before they are stored.
 VECTOR = T.ArrayType(T.FloatType())
 

@@ -1,4 +1,4 @@
-"""CSV in and out. All columns are read as strings by header name.
+"""CSV in and out. All columns are read as strings by header name, file by file.
 
 A file with quoted line breaks cannot be split, so one file is one task: give
 large inputs as many files.
@@ -6,6 +6,9 @@ large inputs as many files.
 
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,35 @@ from echofind.schemas import RAW_COLUMNS, UPLOAD_COLUMNS
 _OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by the names in their first line, which the driver reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for status in fs.globStatus(folder) or []:
+        for entry in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            file = entry.getPath()
+            if entry.isDirectory() or file.getName().startswith(("_", ".")) or entry.getLen() == 0:
+                continue
+            stream, codec = fs.open(file), codecs.getCodec(file)
+            stream = codec.createInputStream(stream) if codec is not None else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            line = reader.readLine()
+            reader.close()
+            names = next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
+            found.setdefault(tuple(names), []).append(file.toString())
+    return found
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**_OPTIONS).csv(path)
+    """All files of a path; those with one header are read together, groups meet by column name."""
+    groups = _headers(spark, path)
+    if len(groups) <= 1:
+        return spark.read.options(**_OPTIONS).csv(path)
+    parts = [spark.read.options(**_OPTIONS).csv(files) for files in groups.values()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:

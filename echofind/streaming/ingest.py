@@ -18,9 +18,9 @@ from echofind.functions.embed import Embedder
 from echofind.operators.normalize import with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids, changes
 from echofind.operators.validate import latest_per_key
-from echofind.plans.ingest import accept_reports, complete
+from echofind.plans.ingest import ROW, accept_reports, complete
 from echofind.plans.search import neighbours
-from echofind.schemas import BUG_REPORTS
+from echofind.schemas import BUG_REPORTS, DIMENSION
 from echofind.session import materialize
 from echofind.sources import tables
 
@@ -62,9 +62,9 @@ def ingest_stream(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         stored = read_batches(batch.sparkSession, table, BUG_REPORTS, before=batch_id)
-        accepted, rejects = accept_reports(batch, stored)
+        accepted, rejects = accept_reports(batch, stored, embedder.dim if embedder else DIMENSION)
         write_batch(rejects, f"{table}_rejects", batch_id)
-        numbered = assign_ids(accepted, list(order), tables.last_id(stored))
+        numbered = assign_ids(accepted, [*order, ROW], tables.last_id(stored))
         reports = complete(with_embedding(with_cleaned_text(numbered), embedder))
         write_batch(reports, table, batch_id)
 
@@ -72,13 +72,18 @@ def ingest_stream(
 
 
 def match_stream(
-    stream: DataFrame, reports: DataFrame, target: str, checkpoint: str, k: int, **options
+    stream: DataFrame, reports: DataFrame | Callable[[], DataFrame], target: str, checkpoint: str, k: int, **options
 ) -> StreamingQuery:
-    """The k nearest stored reports of every arriving vector."""
+    """The k nearest stored reports of every arriving vector.
+
+    A function that opens the reports is called for each batch, so that reports
+    stored meanwhile are matched too; a DataFrame keeps the files it began with.
+    """
 
     def match(batch: DataFrame, batch_id: int) -> None:
         queries = materialize(batch, "arrivals")
-        write_batch(neighbours(queries, reports, k, **options), target, batch_id)
+        stored = reports() if callable(reports) else reports
+        write_batch(neighbours(queries, stored, k, **options), target, batch_id)
 
     return run_available(stream, checkpoint, match)
 
@@ -91,17 +96,25 @@ def state_schema(stream: DataFrame, key: str, columns: Sequence[str]) -> T.Struc
 def upsert_stream(
     stream: DataFrame, table: str, checkpoint: str, key: str, columns: Sequence[str], order: Sequence[str]
 ) -> StreamingQuery:
-    """Keep the latest row per key as a log of changes.
+    """Keep the latest row per key, by ``order`` (among ``columns``), as a log of changes.
 
     A batch reads the stored rows of its own keys and writes the rows that are
-    new or changed; the rest of the table is not rewritten. ``read_latest``
-    gives the table, ``compact`` shortens the log.
+    new or changed; the rest of the table is not rewritten. A row that arrives
+    late does not replace a later one; of rows equal in order the one that came
+    last stays. ``read_latest`` gives the table, ``compact`` shortens the log.
     """
+    if missing := [c for c in order if c not in columns]:
+        raise ValueError(f"the state must hold what orders it: {', '.join(missing)}")
     schema = state_schema(stream, key, columns)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = materialize(latest_per_key(batch, key, order), "latest")
-        stored = read_latest(batch.sparkSession, table, schema, key, before=batch_id, only=latest.select(key))
+        arrived = materialize(latest_per_key(batch, key, order), "latest").select(key, *columns)
+        stored = read_latest(
+            batch.sparkSession, table, schema, key, order, before=batch_id, only=arrived.select(key)
+        )
+        stored = materialize(stored, "stored")
+        both = stored.select(key, *columns, F.lit(0).alias("_new")).union(arrived.withColumn("_new", F.lit(1)))
+        latest = latest_per_key(both, key, [*order, "_new"])
         write_batch(changes(stored, latest, key, columns, F.current_timestamp()), table, batch_id)
 
     return run_available(stream, checkpoint, merge)
@@ -112,21 +125,24 @@ def read_latest(
     table: str,
     schema: T.StructType,
     key: str,
+    order: Sequence[str] = (),
     before: int | None = None,
     only: DataFrame | None = None,
 ) -> DataFrame:
-    """The last change of every key, or of the keys in ``only``."""
+    """The last change of every key by ``order`` and batch, or of the keys in ``only``."""
     log = tables.read_table(spark, table, T.StructType(schema.fields + [_BATCH]))
     if before is not None:
         log = log.filter(F.col("batch_id") < before)
     if only is not None:
         log = log.join(only, key, "left_semi")
-    return latest_per_key(log, key, ["batch_id"]).select(*schema.fieldNames())
+    return latest_per_key(log, key, [*order, "batch_id"]).select(*schema.fieldNames())
 
 
-def compact(spark: SparkSession, table: str, target: str, schema: T.StructType, key: str) -> None:
+def compact(
+    spark: SparkSession, table: str, target: str, schema: T.StructType, key: str, order: Sequence[str] = ()
+) -> None:
     """The table as a new log of one batch, older than any batch of a stream."""
-    write_batch(read_latest(spark, table, schema, key), target, -1)
+    write_batch(read_latest(spark, table, schema, key, order), target, -1)
 
 
 def dedupe_within_watermark(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:

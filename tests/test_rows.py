@@ -163,14 +163,14 @@ def test_percentile_equals_sorted_values(spark):
 
     rng = np.random.default_rng(3)
     groups = {"many": rng.normal(size=150_000), "hot": np.where(rng.random(5_000) < 0.97, 1.0, rng.random(5_000)), "one": np.array([4.0]), "two": np.array([1.0, 2.0])}
-    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 3.0), ("one", None)]
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 3.0), ("one", None), ("one", float("nan")), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(6)
     groups[None] = np.array([1.0, 3.0])
-    for p, small in ((0.0, 0), (0.5, 0), (0.95, 0), (1.0, 0), (0.95, 10**6)):
-        got = {r.g: (r["rows"], r.percentile) for r in evaluate.percentile(df, "x", p, "g", small=small).collect()}
-        assert set(got) == set(groups)
+    for p, accuracy in ((0.0, 100_000), (0.5, 100_000), (0.95, 100_000), (1.0, 100_000), (0.95, 1_000), (0.95, 10**6)):
+        got = {r.g: (r["rows"], r.percentile) for r in evaluate.percentile(df, "x", p, "g", accuracy=accuracy).collect()}
+        assert set(got) == {*groups, "none"} and got["none"] == (1, None)
         for g, xs in groups.items():
-            assert got[g][0] == len(xs) and abs(got[g][1] - np.quantile(xs, p)) < 1e-9, (g, p)
+            assert got[g][0] == len(xs) + 2 * (g == "one") and abs(got[g][1] - np.quantile(xs, p)) < 1e-9, (g, p)
 
 
 def test_sampling_repeats_itself(spark):
