@@ -218,6 +218,9 @@ FROM {_top(TEXT_PAIRS, 5)} t JOIN cleaned c ON c.id = t.id""",
     "ivf_candidates": f"""WITH {VECTORS}, {_ivf('vectors')}
 SELECT l.id AS query_id, count(*) AS candidates FROM ranked_lists l JOIN assigned a ON l.list_id = a.list_id
 WHERE list_rank <= 4 GROUP BY l.id""",
+    "ivf_search_stored": f"WITH {VECTORS}, {_ivf('vectors')} {RANKED}{_top(_ivf_pairs('vectors', 4), 10)}",
+    "lsh_search_stored": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
+    "lsh_search_complete": "SELECT vec_id AS query_id, 10::BIGINT AS found FROM embeddings WHERE vec_id % 20 = 0",
     "lsh_search": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
     "duplicate_pairs_hashed": f"WITH {VECTORS}, {_lsh(16, 0)} {PAIRS.format(hits=_top(SHARED_PAIRS, 10), least=0.3)}",
     "duplicate_pairs": f"WITH {VECTORS} {PAIRS.format(hits=_top(EXACT_PAIRS, 10), least=0.3)}",

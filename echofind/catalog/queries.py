@@ -189,6 +189,29 @@ def lsh_search(spark, sf_dir):
     return _ranked(ann.lsh_search(_as_queries(reports), reports, ann.LshIndex(DIM), K))
 
 
+def ivf_search_stored(spark, sf_dir):
+    """The same over a stored table, pruned to the probed lists."""
+    reports, path = _vectors(spark, sf_dir), scratch_dir(spark, "ivf")
+    index = _ivf(reports)
+    ann.write_ivf(reports, index, path)
+    return _ranked(ann.ivf_search(_as_queries(reports), spark.read.parquet(path), index, K, PROBES))
+
+
+def lsh_search_stored(spark, sf_dir):
+    """The same over a stored table of buckets."""
+    reports, path, index = _vectors(spark, sf_dir), scratch_dir(spark, "lsh"), ann.LshIndex(DIM)
+    ann.write_lsh(reports, index, path)
+    return _ranked(ann.lsh_search(_as_queries(reports), spark.read.parquet(path), index, K))
+
+
+def lsh_search_complete(spark, sf_dir):
+    """Long signatures in one table find few; the completed form finds them all."""
+    reports = _vectors(spark, sf_dir)
+    queries = _as_queries(reports).where("query_id % 20 = 0")
+    hits = search.neighbours(queries, reports, K, "hnsw", ann.LshIndex(DIM, tables=1, bits=40), flips=0)
+    return hits.groupBy("query_id").agg(F.count("*").alias("found"))
+
+
 def duplicate_pairs(spark, sf_dir):
     return pairs.duplicate_pairs(_vectors(spark, sf_dir), K, 0.3)
 
@@ -617,7 +640,7 @@ ALL = {
     f.__name__: f
     for f in (
         knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
-        ivf_assign, ivf_index_table, ivf_search, ivf_candidates, lsh_search,
+        ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
         duplicate_pairs, duplicate_pairs_hashed, duplicate_reports,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,

@@ -240,22 +240,49 @@ def lsh_search(
 ) -> DataFrame:
     """k nearest among the reports that share a bucket with the query.
 
-    With ``complete``, queries that found fewer than k go through the exact
-    search, so that no query comes up short.
+    ``reports`` may come from :func:`write_lsh`; nothing is signed anew then,
+    and the scan is pruned to the probed buckets. With ``complete``, queries that
+    found fewer than k probe all neighbouring buckets, and those still short go
+    through the exact search, so that no query comes up short.
     """
-    found = knn.knn_join(
-        queries.withColumn("keys", index.keys(F.col("embedding"), flips)),
-        reports.withColumn("keys", index.keys(F.col("embedding"))),
-        k,
-        filters,
-        **limits,
-    )
+    stored = "bucket" in reports.columns
+
+    def probe(asking: DataFrame, flips: int) -> DataFrame:
+        asking = asking.withColumn("keys", index.keys(F.col("embedding"), flips))
+        if stored:
+            return knn.knn_join(asking, reports, k, filters, key_column="bucket", **limits)
+        signed = reports.withColumn("keys", index.keys(F.col("embedding")))
+        return knn.knn_join(asking, signed, k, filters, **limits)
+
+    found = probe(queries, flips)
     if not complete:
         return found
-    found = materialize(found, "lsh")
-    enough = found.filter(F.col("rank") == k).select("query_id")
-    short = queries.join(enough, "query_id", "left_anti")
-    return found.join(enough, "query_id", "left_semi").unionByName(knn.knn_join(short, reports, k, filters, **limits))
+    # of a stored table, the first hash table holds every report once
+    once = reports.where(F.col("bucket") < (1 << index.bits)) if stored else reports
+    steps = [lambda short: probe(short, index.bits)] if flips < index.bits else []
+    for step in [*steps, lambda short: knn.knn_join(short, once, k, filters, **limits)]:
+        found = materialize(found, "lsh")
+        enough = found.filter(F.col("rank") == k).select("query_id")
+        short = queries.join(enough, "query_id", "left_anti")
+        if short.isEmpty():
+            return found
+        found = found.join(enough, "query_id", "left_semi").unionByName(step(short))
+    return found
+
+
+def write_lsh(reports: DataFrame, index: LshIndex, path: str) -> None:
+    """Store the reports once per hash table, in order of their ``bucket``; run again to rebuild.
+
+    Files hold ranges of buckets, so a search reads those that hold its own; a
+    large bucket spreads over several files.
+    """
+    signed = reports.withColumn("bucket", F.explode(index.keys(F.col("embedding"))))
+    signed.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").write.mode("overwrite").parquet(path)
+
+
+def suggest_bits(rows: int) -> int:
+    """Bits per hash table that leave about a thousand rows in a bucket."""
+    return max(1, min(MOST_BITS, round(math.log2(max(rows, 2) / 1000)) if rows > 2000 else 1))
 
 
 def _share(value):

@@ -16,6 +16,7 @@ only rows that share a key are scored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -186,11 +187,23 @@ def _with_cell(side: DataFrame, cells: int) -> DataFrame:
 def lowest_ids_per_vector(reports: DataFrame, n: int, filters: tuple[str, ...] = ()) -> DataFrame:
     """Keep the n lowest ids among reports with equal vector and filter values.
 
-    Spark applies the row limit per task before it shuffles, so a group of
-    copies that holds much of the table shrinks to n rows per task first.
+    Vectors are told apart by 96 bits of hash. Groups of over n rows are counted
+    first, combined before the shuffle; only their rows are put in order, and
+    Spark applies the row limit per task before it shuffles them. All other
+    reports stay where they are.
     """
-    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding", *filters).orderBy("id")
-    return reports.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= n).drop("_copy")
+    marked = reports.withColumn("_mark", F.struct(F.xxhash64("embedding").alias("a"), F.hash("embedding").alias("b")))
+    keys = ["_mark", *filters]
+    counts = marked.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > n)
+    crowded = materialize(counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]), "crowded")
+    if crowded.isEmpty():
+        return reports
+    crowded = broadcast_if_small(crowded, BROADCAST_KEYS)
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    copies = Window.partitionBy(*keys).orderBy("id")
+    many = marked.join(crowded, same, "left_semi").withColumn("_copy", F.row_number().over(copies))
+    many = many.filter(F.col("_copy") <= n).drop("_copy")
+    return marked.join(crowded, same, "left_anti").unionByName(many).drop("_mark")
 
 
 def _hot_keys(queries: DataFrame, reports: DataFrame, cell_rows: int) -> DataFrame:

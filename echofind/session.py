@@ -48,6 +48,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    """Whether driver and tasks share one process (not so under ``local-cluster``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, under ``spark.checkpoint.dir``.
 
@@ -56,7 +62,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="echofind-")
     return f"{base.rstrip('/')}/echofind/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -95,13 +101,11 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for Python-heavy work on an input with few splits.
+    """In a local session, use all cores on an input of few splits, such as one row group.
 
-    A large input has more splits than cores, so nothing is shuffled there. A
-    small one (one Parquet row group is one task) is spread by hash of ``keys``.
-    Meant for plain scans, whose splits are known without running anything.
+    On a cluster nothing is done: splits are for ``spark.sql.files.*`` to set.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if not _one_machine(df.sparkSession) or df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys)

@@ -123,6 +123,10 @@ def test_samples_are_cut_by_a_bound_before_they_are_sorted(spark):
     assert "<= " in plan and "md5" in plan
 
 
+def test_bits_follow_the_rows():
+    assert [ann.suggest_bits(n) for n in (1, 4_000, 1_000_000, 10**12)] == [1, 2, 10, 30]
+
+
 def test_unkeyed_cells_use_all_partitions(spark):
     rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
