@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +56,36 @@ def _one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, under ``spark.checkpoint.dir``.
+_fallback: dict[str, str] = {}
+_scope = threading.local()
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, under ``spark.checkpoint.dir``.
 
     The cluster names a folder all executors share. Only a local session may
-    fall back to a temporary folder of this machine.
+    fall back to a temporary folder of this machine, one per application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, application = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
         if not _one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="echofind-")
-    return f"{base.rstrip('/')}/echofind/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        base = _fallback.setdefault(application, "") or tempfile.mkdtemp(prefix="echofind-")
+        _fallback[application] = base
+    return f"{base.rstrip('/')}/echofind/{application}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table."""
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -73,12 +93,23 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Call it once no result is in use: results may read from these tables.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-            f"{base.rstrip('/')}/echofind/{spark.sparkContext.applicationId}"
-        )
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _base(spark))
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables written inside, in this thread, when it ends.
+
+    For work whose result has been written by then, such as a micro-batch.
+    """
+    outer = getattr(_scope, "paths", None)
+    _scope.paths = []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            _delete(spark, path)
+        _scope.paths = outer
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

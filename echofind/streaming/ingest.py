@@ -21,16 +21,24 @@ from echofind.operators.validate import latest_per_key
 from echofind.plans.ingest import ROW, accept_reports, complete
 from echofind.plans.search import neighbours
 from echofind.schemas import BUG_REPORTS, DIMENSION
-from echofind.session import materialize
+from echofind.session import materialize, scratch_scope
 from echofind.sources import tables
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process what has arrived, batch by batch, then stop."""
+    """Process what has arrived, batch by batch, then stop.
+
+    What ``each`` writes as intermediate tables goes when its batch is done.
+    """
+
+    def tidy(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            each(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(tidy)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -3,7 +3,8 @@ import subprocess
 import sys
 import tempfile
 
-from echofind.session import broadcast_if_small, materialize, scratch_dir
+from echofind.session import broadcast_if_small, materialize, scratch_dir, scratch_scope
+from echofind.sources.tables import table_exists
 
 
 def test_scratch_lives_under_the_named_folder(spark):
@@ -31,6 +32,15 @@ def test_scratch_can_be_cleared():
         subprocess.run([sys.executable, "-c", program, root, folder], check=True, timeout=120, capture_output=True)
 
 
+def test_a_scope_deletes_what_was_written_inside(spark):
+    before = scratch_dir(spark, "x")
+    spark.range(2).write.parquet(before)
+    with scratch_scope(spark):
+        inside = scratch_dir(spark, "x")
+        spark.range(2).write.parquet(inside)
+    assert table_exists(spark, before) and not table_exists(spark, inside)
+
+
 def test_broadcast_only_below_the_bound(spark):
     big, small = spark.range(100), spark.range(10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
