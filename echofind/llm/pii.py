@@ -133,9 +133,14 @@ def learn(
     free = materialize(_apart(spans), "pii-free")
     edge = known.select("pattern", "match", F.lit(1.0).alias("seed")).union(free.select("pattern", "match", F.lit(0.0)))
     edge = edge.where("pattern IS NOT NULL").groupBy("pattern", "match").agg(F.count("*").alias("hits"), F.max("seed").alias("seed"))
-    often = edge.groupBy("pattern").agg(F.count("*").alias("instances"), F.max("seed").alias("any_seed"))
-    often = materialize(often.where(F.col("instances") >= least_seeds).select("pattern"), "pii-patterns")
-    counted = _occurrences(documents, often)
+    edge = materialize(edge, "pii-edges")
+    often = edge.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("hits").alias("hits"))
+    often = materialize(often.where(F.col("instances") >= least_seeds), "pii-patterns")
+    # what stands before other words too often in the few texts that may hold a mention is no better in all of them
+    may = documents.where(F.col("text").rlike("[0-9@]"))
+    bound = _occurrences(may, often.select("pattern")).join(often, "pattern")
+    able = materialize(bound.where(F.col("hits") >= confident * F.col("n")).select("pattern"), "pii-able")
+    counted = _occurrences(documents, able)
     graph = materialize(edge.join(counted, "pattern"), "pii-graph")
 
     scores = graph.select("match", F.col("seed").alias("score")).groupBy("match").agg(F.max("score").alias("score"))
