@@ -67,6 +67,54 @@ def test_notices(spark):
     assert got[3] == [] and [n[:2] for n in got[4]] == [("apache-2.0", 1.0)]
 
 
+def names(text, templates=licenses.TEMPLATES):
+    import numpy as np
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return [n[:2] for n in licenses.Matcher(templates, 0.8).matches(raw, np.array([0, len(raw)]))[0]]
+
+
+def test_every_template_is_itself():
+    for name, text, *_ in licenses.TEMPLATES:
+        assert names(text) == [(name, 1.0)]
+        assert names("so " + text.upper() + " " + text) == [(name, 1.0)] * 2
+
+
+def test_siblings_of_a_license_are_not_taken_for_it():
+    gpl = "redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
+    other = [f"Licensed under CC BY{v}." for v in ("-ND 4.0", "-NC-ND 4.0", "-NC-SA 4.0", " 3.0", "-SA 3.0", "-NC 2.5")]
+    other += ["Released under the BSD License", "released under the license", "Released under the ISC License."]
+    other += [f"This work is licensed under the GNU {w}" for w in ("General Public License, version 2.", "Lesser General Public License, version 3.")]
+    other += ["This work is licensed under the GNU Affero General Public License, version 3."]
+    other += ["Licensed under the Mozilla Public License, Version 2.0", "Licensed under the Apache License, Version 1.1."]
+    other += ["This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0."]
+    other += ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."]
+    for family in ("General Public License", "Lesser General Public License", "Affero General Public License"):
+        for version in (2, 3) if family[0] != "G" else (2,):
+            text = "This program is free software: you can " + gpl.format(family)
+            other += [f"{text}, either version {version} of the License, or (at your option) any later version"]
+            other += [text.replace(" as pub", f" version {version} as pub")]
+    other += [licenses.TEMPLATES[3][1].replace("deal in", "deal with")]
+    other += ["Redistribution and use in source and binary forms, without modification, are permitted provided that the following conditions are met"]
+    for text in other:
+        assert names(text) == [], text
+
+
+def test_wordings_of_the_same_license():
+    assert names("This work is licensed under the GNU General Public License v3") == [("gpl-3.0", 11 / 12)]
+    assert names("Licensed under the Apache Software License, version 2") == [("apache-2.0", 7 / 8)]
+    assert names("licensed under (CC BY-SA), version 4.0") == [("cc-by-sa-4.0", 1.0)]
+    # the longer wording with a word less still spans the notice
+    assert names(licenses.TEMPLATES[1][1].replace("compliance", "agreement")) == [("apache-2.0", 1 - 1 / len(plain(licenses.TEMPLATES[1][1])))]
+    both = "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. Licensed under CC BY-ND 4.0."
+    assert names(both) == [("cc-by-4.0", 1.0), ("cc-by-nc-4.0", 1.0)]
+
+
+def test_coverage_comes_before_matched_words():
+    templates = (("long", "alpha beta gamma delta omega"), ("short", "alpha beta gamma delta"))
+    assert names("alpha beta gamma delta", templates) == [("short", 1.0)]
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     got = licenses.notices(docs).collect()
