@@ -11,6 +11,10 @@ part is reported when what complements it is there:
 * ``endpoint``: an identifier and a secret.
 
 Strong finds count as parts too: ``access`` as identifier, the others as secret.
+Names of weak parts may carry more words around them (``DB_PASS``, ``db.user.name``,
+``awsSecretAccessKey``); the last word that tells a class counts. An address of any
+scheme is an endpoint; user and password inside it are parts of their own, and it
+ends before a part in its query.
 Only what tasks find leaves them, not the texts. The join looks from each part to
 the nearest part of every class before and after it, with windows, so no pairs
 are made however many parts a scope has.
@@ -40,11 +44,21 @@ _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ASSIGN = re.compile(rf"(password|passwd|secret|token|api_?key){_VALUE}", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_NAMED = re.compile(rf"\b(user|user_?name|login|account|client_?id|access_?id|pwd|pass|auth|private_?key|credential|host|endpoint|server){_VALUE}", re.I | re.A)
-_ADDRESS = re.compile(r"\bhttps?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+")
-_QUOTED = re.compile(r"""["']([A-Za-z0-9+/_=-]{16,256})["']""")
-_SECRET_NAME = re.compile(r"pwd|pass|auth|private|credential", re.I)
-_ENDPOINT_NAME = re.compile(r"host|endpoint|server", re.I)
+_NAME = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["']?\x20*+[:=]""")
+_AFTER = re.compile(r"""\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[.-]")
+_CLASS = re.compile(
+    r"(?<![a-z])(?:"
+    r"(?P<secret>secret(?:_?access)?(?:_?key)?|private_?key(?!_?id)|(?:api|account|shared|signing|encryption|master|storage|service|server|ssh|auth)_?key"
+    r"|pwd|pass|passwd|password|pass_?phrase|auth|token|credentials?)"
+    r"|(?P<identifier>user(?:_?name|_?id)?|uid|login|account(?:_?name|_?id)?|client_?id|access_?id|access_?key(?:_?id)?|consumer_?key)"
+    r"|(?P<endpoint>host(?:_?name)?|endpoint|server))[0-9]*(?![a-z])"
+)
+#: After such a word the value tells something about the part, and is not the part.
+_ABOUT = re.compile(r"_(?:agent|count|enabled|expiry|group|length|limit|rate|required|role|size|time|timeout|type|version)s?(?![a-z])")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])(?:jdbc:)?[A-Za-z][A-Za-z0-9+.-]*+://(?=([A-Za-z0-9._~:@!$&()*+,;=%-]*))[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+")
+_QUOTED = re.compile(r"""["']([A-Za-z0-9+/_=.-]{16,}+)["']""")
+_PIECE = re.compile(r"[?;&/#]")
 _BLANK = re.compile(r"\n[ \t\r]*(?=\n)")
 #: No strong find without one of these (in lower case).
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -63,23 +77,60 @@ def strong_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def _random_looking(value: str) -> bool:
-    """Letters and digits, at three bits of entropy per character or more."""
+    """Letters and digits, at three bits of entropy per character or more, in some piece between dots."""
+    if "." in value:
+        return any(_random_looking(piece) for piece in value.split("."))
     if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
         return False
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= 3.0
 
 
+def _named(text: str) -> list[tuple[str, int, int, int]]:
+    """Class, start and end of values with a telling name, and the start of the name."""
+    found = []
+    for m in _NAME.finditer(text):
+        name = _HUMP.sub("_", m[1]).lower()
+        last = None
+        for last in _CLASS.finditer(name):
+            pass
+        value = last and _AFTER.match(text, m.end())
+        if not value or _ABOUT.match(name, last.end()) or text.startswith("://", value.end(1)):
+            continue
+        if last.end() < len(name) and "." in m[1] and value[1].isdigit():  # host and port
+            continue
+        if len(value[1]) >= (6 if last.lastgroup == "secret" else 3):
+            found.append((last.lastgroup, value.start(1), value.end(1), m.start(1)))
+    return found
+
+
+def _address_parts(text: str, m: re.Match, inside: list[int]) -> list[tuple[str, int, int]]:
+    """User, password and the rest of an address, which ends before the first of the starts ``inside`` it."""
+    parts = []
+    start, (a, b) = m.start(), m.span(1)
+    info = text.rfind("@", a, b)
+    if info >= 0:
+        colon = text.find(":", a, info)
+        user = colon if colon >= 0 else info
+        parts = [("identifier", a, user), ("secret", user + 1, info)]
+        start = info + 1
+    end = m.end()
+    first = bisect.bisect_left(inside, start)
+    if first < len(inside) and inside[first] < end:
+        cuts = [c.start() for c in _PIECE.finditer(text, max(start, a), inside[first])]
+        end = cuts[-1] if cuts else end
+    return [(kind, i, j) for kind, i, j in [*parts, ("endpoint", start, end)] if i < j]
+
+
 def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Class, start and end of parts that mean nothing alone and overlap no strong find."""
+    named = _named(text) if "=" in text or ":" in text else []
     found = []
-    if "=" in text or ":" in text:
-        for m in _NAMED.finditer(text):
-            kind = "secret" if _SECRET_NAME.match(m[1]) else "endpoint" if _ENDPOINT_NAME.match(m[1]) else "identifier"
-            if len(m[2]) >= (6 if kind == "secret" else 3):
-                found.append((kind, m.start(2), m.end(2)))
-        if "://" in text:
-            found += [("endpoint", m.start(), m.end()) for m in _ADDRESS.finditer(text)]
+    if "://" in text:
+        inside = sorted([at for *_, at in named] + [a for _, a, _ in strong])
+        for m in _ADDRESS.finditer(text):
+            found += _address_parts(text, m, inside)
+    found += [part[:3] for part in named]
     if '"' in text or "'" in text:
         found += [("secret", m.start(1), m.end(1)) for m in _QUOTED.finditer(text) if _random_looking(m[1])]
     taken, kept, reach = sorted((a, b) for _, a, b in strong), [], -1
