@@ -2,15 +2,18 @@
 
 Base entities come from fixed patterns over whole texts. Their contexts then
 serve as seeds (bootstrapping): the two words before a mention are a lexical
-pattern; patterns and instances (the strings mentioned) form a graph. In each
-round a pattern's confidence is the share of all its occurrences in the corpus
+pattern. Words are runs of letters and digits, whatever stands between them; numbers
+are all alike, earlier mentions are words too, and ``^`` stands for words before a
+text's start. Patterns and instances (the strings mentioned) form a graph. In each
+round, until no score changes, a pattern's confidence is the share of all its occurrences in the corpus
 that lead to an instance, each instance counting with its score; an unknown
 instance's score is the chance that at least one of its confident patterns is
 right. Unknown identifier-like strings that confident patterns lead to are
 reported with kind ``id``.
 
 Only DataFrame functions are used. Positions come from the lengths of matches
-and of the gaps between them, summed per text with a window. Matches are rare, so
+and of the gaps between them, summed per text with a window, and so do the words
+before a mention (words of over 70 characters are in no pattern). Matches are rare, so
 what leaves the scan is small; texts without any are never shuffled.
 
 Defined results: a NULL text is empty and has no spans; rows are handled one by
@@ -46,6 +49,10 @@ _HINT = {
     "phone": r"\+[0-9]",
     LEARNT: r"[0-9]",
 }
+#: What stands between words.
+_BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
+#: Characters kept of a gap, in words, and matches looked back on.
+_TAIL, _BACK = 160, 16
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -61,14 +68,18 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Each match in order, with the length of the gap before it and the gap's last 80 characters."""
+    """Each match in order, with the length of the gap before it and the gap's last words."""
     pattern = F.lit(_PATTERN[kind])
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, _PATTERN[kind], -1)
+
+    def words(gap: Column) -> Column:
+        return F.right(F.regexp_replace(F.right(gap, F.lit(1000)), _BETWEEN, " "), F.lit(_TAIL))
+
     pairs = F.zip_with(
         found,
         F.slice(gaps, F.lit(1), F.size(found)),
-        lambda m, g: F.struct(F.lit(kind).alias("kind"), m.alias("match"), F.length(g).alias("gap"), F.right(g, F.lit(80)).alias("tail")),
+        lambda m, g: F.struct(F.lit(kind).alias("kind"), m.alias("match"), F.length(g).alias("gap"), words(g).alias("tail")),
     )
     return F.when(text.rlike(_HINT[kind]), pairs).otherwise(F.array().cast("array<struct<kind:string,match:string,gap:int,tail:string>>"))
 
@@ -83,14 +94,24 @@ def scan(documents: DataFrame, carry: list[str]) -> DataFrame:
     return materialize(rows, "pii-scan")
 
 
+def _plain_words(text: Column, between: str = _BETWEEN) -> Column:
+    """Words in lower case with one blank between them, numbers as 0."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, between, " ")), "[0-9]+", "0")
+
+
 def mentions(scanned: DataFrame) -> DataFrame:
-    """``number``, ``kind``, ``start``, ``end``, ``match`` and ``pattern`` (NULL without two words before)."""
+    """``number``, ``kind``, ``start``, ``end``, ``match`` and ``pattern`` (NULL where a word goes on into the mention)."""
     each = scanned.select("number", F.explode("found").alias("all")).select("number", F.posexplode("all").alias("i", "m"))
     each = each.select("number", "i", "m.*")
-    run = Window.partitionBy("number", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("match")).over(run)
-    before = F.regexp_extract(F.col("tail"), r"(\S+)\s+(\S+)\s+$", 0)
-    pattern = F.lower(F.regexp_replace(F.trim(F.regexp_replace(before, r"\s+", " ")), "[0-9]", "0"))
+    run = Window.partitionBy("number", "kind").orderBy("i")
+    end = F.sum(F.col("gap") + F.length("match")).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    # gaps and matches together are the text
+    first = (F.col("i") == 0) & (F.col("gap") <= 1000) & (F.length("tail") < _TAIL)
+    each = each.withColumn("tail", F.when(first, F.concat(F.lit(" ^ ^ "), "tail")).otherwise(F.col("tail")))
+    gone = F.collect_list(F.concat("tail", F.right("match", F.lit(_TAIL)))).over(run.rowsBetween(-_BACK, -1))
+    before = _plain_words(F.right(F.concat(F.array_join(gone, ""), "tail"), F.lit(_TAIL)), r"[^\p{L}\p{M}\p{N}^]+")
+    apart = F.col("match").rlike("^" + _BETWEEN) | before.endswith(" ")
+    pattern = F.when(apart, F.regexp_extract(before, "(?<= )([^ ]+ [^ ]+) ?$", 1))
     out = each.select(
         "number", "kind", "match", (end - F.length("match")).alias("start"), end.alias("end"), F.when(pattern != "", pattern).alias("pattern")
     )
@@ -110,8 +131,8 @@ def _apart(spans: DataFrame) -> DataFrame:
 
 def _occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """How often each pattern's two words stand in the corpus, before anything at all."""
-    body = F.lower(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[0-9]", "0"))
-    tokens = documents.select(F.split(F.trim(F.regexp_replace(body, r"\s+", " ")), " ").alias("w"))
+    body = documents.select(F.trim(_plain_words(F.col("text"))).alias("body")).where("body <> ''")
+    tokens = body.select(F.concat(F.array(F.lit("^"), F.lit("^")), F.split("body", " ")).alias("w"))
     pairs = F.zip_with(
         F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
         F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))),
@@ -122,13 +143,18 @@ def _occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def learn(
-    documents: DataFrame, spans: DataFrame, rounds: int = 3, least_seeds: int = 3, confident: float = 0.5
+    documents: DataFrame, spans: DataFrame, least_seeds: int = 3, confident: float = 0.5
 ) -> DataFrame:
     """The unknown mentions that confident patterns lead to.
 
     ``spans`` as from ``mentions``. A pattern needs ``least_seeds`` different
-    instances, and as many believed ones to be trusted.
+    instances, and as many believed ones to be trusted. Scores only rise; rounds
+    end when none does by a millionth.
     """
+
+    def total(scores: DataFrame):
+        return scores.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
+
     known = spans.where(F.col("kind") != LEARNT)
     free = materialize(_apart(spans), "pii-free")
     edge = known.select("pattern", "match", F.lit(1.0).alias("seed")).union(free.select("pattern", "match", F.lit(0.0)))
@@ -144,7 +170,8 @@ def learn(
     graph = materialize(edge.join(counted, "pattern"), "pii-graph")
 
     scores = graph.select("match", F.col("seed").alias("score")).groupBy("match").agg(F.max("score").alias("score"))
-    for _ in range(rounds):
+    seen = total(scores)
+    while True:
         weighed = graph.join(scores, "match")
         trust = weighed.groupBy("pattern").agg(
             (F.sum(F.col("hits") * F.col("score")) / F.max("n")).alias("trust"),
@@ -152,11 +179,15 @@ def learn(
         )
         trust = trust.where((F.col("trust") >= confident) & (F.col("believed") >= least_seeds))
         trust = materialize(trust.select("pattern", F.least("trust", F.lit(1.0)).alias("trust")), "pii-trust")
-        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
+        doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
         told = graph.join(trust, "pattern", "left").groupBy("match").agg(
             F.max("seed").alias("seed"), (1 - F.exp(F.coalesce(doubt, F.lit(0.0)))).alias("told")
         )
         scores = materialize(told.select("match", F.greatest("seed", "told").alias("score")), "pii-scores")
+        now = total(scores)
+        if now <= seen:
+            break
+        seen = now
     led = free.join(trust.select("pattern"), "pattern", "left_semi")
     return led.join(scores.where(F.col("score") >= confident).select("match"), "match", "left_semi").select(spans.columns)
 

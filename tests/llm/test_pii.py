@@ -67,6 +67,62 @@ def test_a_context_that_stands_before_anything_is_not_trusted(spark):
     assert found(spark, texts)[4]["spans"] == ""
 
 
+def patterns(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.mentions(pii.scan(df, ["doc_id"])).collect()
+    return {r["match"]: r["pattern"] for r in rows}
+
+
+def test_contexts_do_not_end_at_earlier_mentions(spark):
+    texts = [
+        "2021-03-04 patient 99887766",
+        "so a@x.org and b@y.org",
+        "my id:11887766 (22887766 no=33887766",
+        "44887766 at the start",
+        "Patient: 55887766",
+        "x" * 200 + " no   \n" + " " * 300 + "66887766",
+        "the 12/24/2021 10:15:30 é77887766 tel+49 30 1234567",
+    ]
+    got = patterns(spark, texts)
+    assert got["99887766"] == "0 patient" and got["2021-03-04"] == "^ ^"
+    assert got["b@y.org"] == "org and" and got["a@x.org"] == "^ so"
+    assert (got["11887766"], got["22887766"], got["33887766"]) == ("my id", "id 0", "0 no")
+    assert got["44887766"] == "^ ^" and got["55887766"] == "^ patient" and got["66887766"] is None
+    assert got["10:15:30"] == "0 0" if "10:15:30" in got else True
+    assert got["77887766"] is None and got["+49 30 1234567"] == "é0 tel"
+
+
+def test_occurrences_split_words_as_mentions_do(spark):
+    texts = ["id:1234567, ID = 7654321; my-id (5555555)", "", None, "?!", "2021-03-04 patient 99887766", "Patient 12345678 and a@x.org"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.mentions(pii.scan(df, ["doc_id"])).where("kind in ('id', 'email') and pattern is not null")
+    hits = {r["pattern"]: r["count"] for r in spans.groupBy("kind", "pattern").count().collect()}
+    n = {r["pattern"]: r["n"] for r in pii._occurrences(df, spans.select("pattern").distinct()).collect()}
+    assert len(hits) > 5 and set(n) == set(hits) and all(n[p] >= h for p, h in hits.items())
+    assert n["0 patient"] == 3 and n["^ patient"] == 3
+
+
+def test_identifiers_that_crowd_are_found(spark):
+    texts = [f"2021-03-0{k + 1} mail:u{k}@example.org" for k in range(6)] + ["2021-04-07 mail:99887766", "2021-04-08 sum:99.50"]
+    got = found(spark, texts)
+    assert got[6]["spans"] == "id:16:24" and got[7]["spans"] == ""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["text"] for r in pii.mask(df).collect()} >= {"2021-04-07 mail:<ID>", "2021-04-08 sum:99.50"}
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    """Each context leads to what the one before found, and to three more."""
+    named = [[f"u{k}@example.org" for k in range(3)]] + [[f"{n}9988{k}77" for k in range(3)] for n in range(7)]
+    texts = [", ".join(f"chain {c} {w}" for w in old * 20 + new) for c, old, new in zip("abcdefg", named, named[1:])]
+    got = found(spark, texts)
+    assert [got[n]["spans"].count("id:") for n in range(7)] == [3] + [63] * 6
+
+
+def test_an_instance_is_not_believed_for_patterns_that_are_not(spark):
+    texts = [f"seen at place 9988{k}77" for k in range(9)] + [f"at place u{k}@example.org" for k in range(3)]
+    assert not any(got["spans"].count("id:") for got in found(spark, texts).values())
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     extra = spark.createDataFrame([(20, "mail x@y.org +1 (555) 555-1234 x", "en", "a", 30)] * 2, edges.SCHEMA)
