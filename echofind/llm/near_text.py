@@ -10,7 +10,7 @@ bounded size, so the join finds every pair in a candidate group with Jaccard
 similarity at the threshold or above, and none below it.
 
 Skew: copies are folded before anything is compared; bucket minima are combined
-before the shuffle; the sets of a large group are dealt to many blocks. Sets are
+before the shuffle; the sets of a large group are dealt to many blocks, bounded in bytes and members. Sets are
 made again from the text for candidates only, so most of the corpus leaves the
 first scan as a signature.
 
@@ -35,6 +35,8 @@ from echofind.session import materialize
 
 #: Bytes of run hashes in one chunk of a candidate group.
 CHUNK_BYTES = 1 << 20
+#: Members of one chunk, about; a block of two chunks makes square matrices of its members.
+CHUNK_MEMBERS = 1024
 
 
 def bands_for(threshold: float, recall: float, most_rows: int = 6) -> tuple[int, int]:
@@ -164,7 +166,7 @@ def join(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     # rows that repeat give the same set again
     sets = sets.groupBy("node").agg(F.first("set").alias("set"))
     members = sets.join(wanted.withColumnRenamed("wanted", "node").drop("doc_id", "key"), "node")
-    members = members.withColumn("bytes", F.col("runs") * 8)
+    members = members.withColumn("bytes", F.greatest(F.col("runs") * 8, F.lit(CHUNK_BYTES // CHUNK_MEMBERS)))
     counts, pairs = pairwise.link(
         members, "group", "node", "bytes", CHUNK_BYTES, lambda block: jaccard_links(block, threshold), "near-links"
     )

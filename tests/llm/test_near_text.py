@@ -58,6 +58,22 @@ def test_join_equals_all_pairs(spark, monkeypatch):
     assert kept == {i for i, (root, _) in enumerate(wanted) if root == i}
 
 
+def test_blocks_of_short_texts_are_bounded_in_members(spark, monkeypatch):
+    most, link = [], near_text.pairwise.link
+
+    def watched(members, group, node, size, chunk_size, *rest):
+        blocks = near_text.pairwise.deal(members, group, node, size, chunk_size).groupBy("block").count()
+        most.extend(r["count"] for r in blocks.collect())
+        return link(members, group, node, size, chunk_size, *rest)
+
+    monkeypatch.setattr(near_text.pairwise, "link", watched)
+    line = edges.prose(7, 13)
+    df = spark.createDataFrame([(k, f"{line} {k}") for k in range(3000)], "doc_id long, text string")
+    got = near_text.join(df).collect()
+    assert max(most) < 2400 and len(most) > 1
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 2999)}
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     got = near_text.join(docs).collect()
