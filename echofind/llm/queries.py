@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bm25, bpe, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
+from echofind.llm import bm25, bpe, fill_middle, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,14 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines for filling in the middle: doc_id, n, form, sizes and hashes of both texts."""
+    done = fill_middle.transform(table(spark, sf_dir, "documents"), carry=["doc_id"], check=True)
+    hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return done.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+SQL["op13_fill_middle"] = fill_middle.FILL_SQL
