@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofind.llm import bm25, bpe, fill_middle, licenses, line_crf, mixing, near_text, near_vectors, pii, repeats, secrets
+from echofind.llm import (
+    bm25,
+    bpe,
+    fill_middle,
+    licenses,
+    line_crf,
+    mixing,
+    near_text,
+    near_vectors,
+    pii,
+    repeats,
+    secrets,
+    token_counts,
+)
 from echofind.llm.common import table
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +173,11 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_fill_middle"] = fill_middle.FILL_SQL
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document: doc_id, n_bytes, n_tokens, over_limit."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.count(table(spark, sf_dir, "documents"), path, carry=["doc_id"])
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
