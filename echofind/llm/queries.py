@@ -21,6 +21,7 @@ from echofind.llm import (
     repeats,
     secrets,
     token_counts,
+    turns,
 )
 from echofind.llm.common import table
 
@@ -181,3 +182,31 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     counted = token_counts.count(table(spark, sf_dir, "documents"), path, carry=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with faults that a checksum of conversation and turn chooses (NULLs: one space)."""
+    space = F.lit(" ")
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(key) % 20
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault")).where("fault <> 0")
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+@query
+def op11_repaired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired: conv_id, what was found, cost, audit and the hash of the repaired rows."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turns.audits(damaged(conversations)).withColumnRenamed("conv_id", "found_id")
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turns.FOUND],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
