@@ -33,7 +33,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from echofind.llm.common import blocks
 
 #: Characters of merged pre-tokens that a task remembers.
-REMEMBERED = 4_000_000
+REMEMBERED = 8_000_000
+#: Bytes of a pre-token up to which its next merge is found by looking at all its pairs.
+SHORT = 48
 #: Texts with more characters are cut into pre-tokens one by one.
 LONG = 1 << 20
 
@@ -48,6 +50,8 @@ NEW_LETTERS = (
     "1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed "
     "1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
+#: Bytes that begin no character from the first of these letters on.
+_LOW = bytes(range(0xD5))
 
 
 def _new_letters() -> str:
@@ -97,8 +101,9 @@ class Vocabulary:
         for letter, byte in letters.items():
             self.byte[byte] = ids[letter]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        #: what a pair of ids merges into, and when
-        self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: when a pair of ids merges, and what each merge makes
+        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         self.special = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
         self.whole = self._prove({v: bytes(letters[c] for c in k) for k, v in ids.items() if set(k) <= letters.keys()})
 
@@ -115,34 +120,41 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: the lowest merge first, of equal ones the leftmost."""
-        pairs, n = self.pairs, len(piece)
+        if len(piece) > SHORT:
+            return self._merge_long(piece)
+        never, rank = len(self.made), self.ranks.get
+        ids = [self.byte[b] for b in piece]
+        ranks = [rank(pair, never) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            ids[i] = self.made[least]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+        return ids
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same by a queue of merges, so that time grows little more than the length."""
+        rank, n = self.ranks.get, len(piece)
         ids = array("q", [self.byte[b] for b in piece])
         after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            found = pairs.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i))
+        queue = [(least, i) for i in range(n - 1) if (least := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, i = heapq.heappop(queue)
+            least, i = heapq.heappop(queue)
             j = after[i]
-            if j >= n or ids[i] < 0:
+            if j >= n or ids[i] < 0 or rank((ids[i], ids[j])) != least:  # one of the two has merged since
                 continue
-            found = pairs.get((ids[i], ids[j]))
-            if not found or found[0] != rank:  # one of the two has merged since
-                continue
-            ids[i], ids[j], then = found[1], -1, after[j]
+            ids[i], ids[j], then = self.made[least], -1, after[j]
             after[i] = then
             if then < n:
                 before[then] = i
-                found = pairs.get((ids[i], ids[then]))
-                if found:
-                    heapq.heappush(queue, (found[0], i))
-            if before[i] >= 0:
-                found = pairs.get((ids[before[i]], ids[i]))
-                if found:
-                    heapq.heappush(queue, (found[0], before[i]))
+                if (following := rank((ids[i], ids[then]))) is not None:
+                    heapq.heappush(queue, (following, i))
+            if before[i] >= 0 and (preceding := rank((ids[before[i]], ids[i]))) is not None:
+                heapq.heappush(queue, (preceding, before[i]))
         return [t for t in ids if t >= 0]
 
 
@@ -167,12 +179,14 @@ class Counter(dict):
             self[piece] = n
         return n
 
-    def count(self, text: str) -> int:
+    def count(self, raw: bytes) -> int:
         """Tokens of a text, its special strings included."""
+        text = raw.decode("utf-8", "surrogatepass")
         parts = self.special.split(text) if self.special else [text]
         total = len(parts) - 1
+        may_be_new = raw.translate(None, _LOW) != b""
         for part in parts:
-            pattern = self.strict if self.new.search(part) else self.pattern
+            pattern = self.strict if may_be_new and self.new.search(part) else self.pattern
             found = pattern.findall(part) if len(part) <= LONG else (m.group() for m in pattern.finditer(part))
             total += sum(map(self.__getitem__, found))
         return total
@@ -205,7 +219,7 @@ def count(documents: DataFrame, path: str, carry: list[str] | None = None, limit
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
             text, edges = data.tobytes(), offsets.tolist()
-            tokens = [counter().count(text[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(edges, edges[1:])]
+            tokens = [counter().count(text[a:b]) for a, b in zip(edges, edges[1:])]
             sizes = [b - a for a, b in zip(edges, edges[1:])]
             yield pa.record_batch([rows.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["row", "n_bytes", "n_tokens"])
 
