@@ -198,6 +198,21 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which byte strings stand for all their like, and for each string the number of the one that does.
+
+    Strings are grouped by hash and then compared byte by byte with the first of
+    their group; should two differ, all are told apart by their bytes.
+    """
+    _, where, place = np.unique(span_hashes(data, starts, starts + sizes), return_index=True, return_inverse=True)
+    like = where[place]
+    if (sizes == sizes[like]).all() and (_gather(data, starts, sizes) == _gather(data, starts[like], sizes)).all():
+        return where, place
+    raw, numbers = data.tobytes(), {}
+    place = np.array([numbers.setdefault(raw[a : a + n], len(numbers)) for a, n in zip(starts.tolist(), sizes.tolist())])
+    return np.unique(place, return_index=True)[1], place
+
+
 class _Corpus:
     """Rows waiting for their replay."""
 
@@ -207,20 +222,23 @@ class _Corpus:
     def add(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
         at, first = pieces(data, offsets)
         size = np.diff(at)
-        keys, where, place = np.unique(span_hashes(data, at[:-1], at[1:]), return_index=True, return_inverse=True)
-        self.parts.append((rows, first, keys, place.astype(np.int32), size[where], _gather(data, at[where], size[where])))
+        where, place = distinct(data, at[:-1], size)
+        self.parts.append((rows, first, place.astype(np.int32), size[where], _gather(data, at[where], size[where])))
         self.bytes += len(data)
 
     def encode(self, ranks: Ranks) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """The rows, all their ids, and the first id of each row."""
-        keys, where = np.unique(np.concatenate([p[2] for p in self.parts]), return_index=True)
-        sizes = np.concatenate([p[4] for p in self.parts])
+        sizes = np.concatenate([p[3] for p in self.parts])
+        held = np.concatenate([p[4] for p in self.parts])
         starts = np.cumsum(sizes) - sizes
-        words = _gather(np.concatenate([p[5] for p in self.parts]), starts[where], sizes[where])
+        where, number = distinct(held, starts, sizes)
+        words = _gather(held, starts[where], sizes[where])
         ids, first_id = replay(words, np.concatenate([[0], np.cumsum(sizes[where])]), ranks)
         count = np.diff(first_id)
-        for rows, first, own, place, _, _ in self.parts:
-            word = np.searchsorted(keys, own)[place]
+        done = 0
+        for rows, first, place, own, _ in self.parts:
+            word = number[done : done + len(own)][place]
+            done += len(own)
             made = np.concatenate([[0], np.cumsum(count[word])])
             yield rows, _gather(ids, first_id[word], count[word]), made[first]
 

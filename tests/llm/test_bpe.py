@@ -47,6 +47,16 @@ def test_equals_the_plain_encoder(reference, ranks):
         assert raw == (text or "").encode()
 
 
+def test_pieces_of_equal_hash_are_told_apart(reference, ranks, monkeypatch):
+    letters = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [letters, letters.translate(str.maketrans("ab", "ba")), letters + " " + letters[::-1]]
+    assert [ids for ids, _ in encoded(texts, ranks)] == [reference.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: ends - starts)  # all of a length collide
+    texts += [edges.prose(4, 200), None, "", "one two six ten"]
+    for text, (ids, raw) in zip(texts, encoded(texts, ranks), strict=True):
+        assert ids == reference.encode_ordinary(text or "") and raw == (text or "").encode()
+
+
 def test_edges(spark, reference):
     docs = edges.documents(spark)
     out = bpe.encode(docs, PATH, check=True)
