@@ -137,6 +137,18 @@ shared AS (SELECT DISTINCT p.id AS query_id, k.id FROM probed p JOIN buckets k O
 
 SHARED_PAIRS = f"SELECT s.query_id, s.id, {_dist('q.v', 'r.v')} AS d FROM shared s JOIN vectors q ON q.id = s.query_id JOIN vectors r ON r.id = s.id"
 
+def _groups(vectors: str, least: float) -> str:
+    """Every id with the smallest id it reaches over pairs of enough similarity, and its number of pairs."""
+    return f"""
+linked AS (
+  SELECT q.id AS a, r.id AS b FROM {vectors} q JOIN {vectors} r ON q.id <> r.id
+  WHERE list_dot_product(q.v, q.v) > 0 AND list_dot_product(r.v, r.v) > 0 AND {_dist('q.v', 'r.v')} <= {1 - least:.9f}),
+reached AS (SELECT a AS id, b AS other FROM linked UNION SELECT r.id, l.b FROM reached r JOIN linked l ON l.a = r.other)
+SELECT v.id, least(v.id, coalesce(m.least_id, v.id)) AS group_id, coalesce(n.links, 0)::BIGINT AS links
+FROM {vectors} v LEFT JOIN (SELECT id, min(other) AS least_id FROM reached GROUP BY id) m ON m.id = v.id
+LEFT JOIN (SELECT a, count(*) AS links FROM linked GROUP BY a) n ON n.a = v.id"""
+
+
 RAW = r"""
 raw AS (
   SELECT doc_id, doc_id % 5 AS kind,
@@ -225,6 +237,8 @@ WHERE list_rank <= 4 GROUP BY l.id""",
     "duplicate_pairs_hashed": f"WITH {VECTORS}, {_lsh(16, 0)} {PAIRS.format(hits=_top(SHARED_PAIRS, 10), least=0.3)}",
     "duplicate_pairs": f"WITH {VECTORS} {PAIRS.format(hits=_top(EXACT_PAIRS, 10), least=0.3)}",
     "duplicate_reports": f"WITH {DOCUMENTS}, {_ivf('doc_vectors')} {PAIRS.format(hits=_top(_ivf_pairs('doc_vectors', 2), 5), least=0.9)}",
+    "duplicate_groups": f"WITH RECURSIVE {DOCUMENTS}, {_groups('doc_vectors', 0.9)}",
+    "duplicate_groups_vectors": f"WITH RECURSIVE {VECTORS}, {_groups('vectors', 0.45)}",
     "recall_hit_rate": COMPARED
     + "SELECT count(*) AS queries_evaluated, "
     + ", ".join(f"round(avg(CASE WHEN f{n} > 0 THEN 1.0 ELSE 0.0 END), 5) AS recall_at_{n}" for n in (1, 5, 10))

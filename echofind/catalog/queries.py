@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from echofind.functions import display, text, vectors
 from echofind.functions.embed import embed
-from echofind.operators import ann, evaluate, knn, pairs, validate
+from echofind.operators import ann, evaluate, groups, knn, pairs, validate
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids, upsert
 from echofind.plans import benchmark, ingest, search
@@ -227,6 +227,16 @@ def duplicate_pairs_hashed(spark, sf_dir):
     return pairs.duplicate_pairs(reports, K, 0.3, ann.LshIndex(DIM, tables=16, bits=8), broadcast_queries=0)
 
 
+def duplicate_groups(spark, sf_dir):
+    """Every document with its group of near copies and the number of its links."""
+    reports = materialize(_documents(spark, sf_dir).select("id", "embedding"), "documents")
+    return groups.duplicate_groups(reports, 0.9)
+
+
+def duplicate_groups_vectors(spark, sf_dir):
+    return groups.duplicate_groups(_vectors(spark, sf_dir), 0.45)
+
+
 # evaluation
 
 
@@ -641,7 +651,7 @@ ALL = {
     for f in (
         knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
-        duplicate_pairs, duplicate_pairs_hashed, duplicate_reports,
+        duplicate_pairs, duplicate_pairs_hashed, duplicate_reports, duplicate_groups, duplicate_groups_vectors,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,
         vector_text_roundtrip, seed_vectors, similarity_band, status_class,
