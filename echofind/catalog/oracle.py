@@ -88,6 +88,80 @@ assigned AS (SELECT id, list_id FROM ranked_lists WHERE list_rank = 1)"""
     )
 
 
+def _tree(vectors: str, lists: int = 4, width: int = 5, top_probes: int = 2, probes: int = 4) -> str:
+    """CTEs of two-level lists: ``in_leaf``(id, list_id, leaf) and ``probed_leaves``(id, leaf)."""
+    return f"""{_ivf(vectors, lists, 1)},
+members AS (SELECT id, list_id, v FROM assigned JOIN {vectors} USING (id)),
+leaf_seeds AS (SELECT list_id, v, min(md5(id::VARCHAR) || id) AS o FROM members WHERE list_dot_product(v, v) > 0 GROUP BY list_id, v),
+leaf_0 AS (
+  SELECT list_id, list_id * {width} + i AS leaf, v AS c FROM
+  (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY o) - 1 AS i FROM leaf_seeds) WHERE i < {width}),
+joined_0 AS (
+  SELECT id, v, leaf FROM (SELECT id, v, leaf, row_number() OVER (PARTITION BY id ORDER BY {_dist('v', 'c')}, leaf) AS r
+  FROM members JOIN leaf_0 USING (list_id)) WHERE r = 1),
+leaf_sums AS (
+  SELECT leaf, d, avg(x / norm) AS x FROM (
+    SELECT leaf, unnest(v) AS x, generate_subscripts(v, 1) AS d, sqrt(list_dot_product(v, v)) AS norm FROM joined_0) GROUP BY ALL),
+leaf_means AS (SELECT leaf, list(x ORDER BY d) AS c FROM leaf_sums GROUP BY leaf),
+leaves AS (SELECT l.list_id, l.leaf, coalesce(m.c, l.c) AS c FROM leaf_0 l LEFT JOIN leaf_means m ON m.leaf = l.leaf),
+in_leaf AS (
+  SELECT id, list_id, leaf FROM (SELECT id, list_id, leaf, row_number() OVER (PARTITION BY id ORDER BY {_dist('v', 'c')}, leaf) AS r
+  FROM members JOIN leaves USING (list_id)) WHERE r = 1),
+probed_leaves AS (
+  SELECT id, leaf FROM (SELECT k.id, l.leaf, row_number() OVER (PARTITION BY k.id ORDER BY {_dist('q.v', 'l.c')}, l.leaf) AS r
+  FROM ranked_lists k JOIN leaves l ON l.list_id = k.list_id AND k.list_rank <= {top_probes} JOIN {vectors} q ON q.id = k.id) WHERE r <= {probes})"""
+
+
+TREE_PAIRS = f"""SELECT p.id AS query_id, a.id, {_dist('q.v', 'r.v')} AS d FROM probed_leaves p JOIN in_leaf a ON a.leaf = p.leaf AND a.id <> p.id
+  JOIN vectors q ON q.id = p.id JOIN vectors r ON r.id = a.id"""
+
+
+def _graph(degree: int = 8, rounds: int = 2) -> str:
+    """CTEs of the neighbour graph of ``vectors``: graph_nodes(id, v, place) and ``graph``(v, u)."""
+
+    def nearest(pairs: str) -> str:
+        return f"""(SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM (
+      SELECT p.a, p.b, {_dist('x.v', 'y.v')} AS d FROM ({pairs}) p JOIN graph_nodes x ON x.id = p.a JOIN graph_nodes y ON y.id = p.b)) WHERE r <= {degree})"""
+
+    def both_ways(edges: str) -> str:
+        return f"""SELECT a AS v, b AS u FROM {edges} UNION SELECT b, a FROM (
+      SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) AS r FROM {edges}) WHERE r <= {degree}"""
+
+    first = f"""SELECT DISTINCT x.id AS a, y.id AS b FROM graph_nodes x, range({degree}) s(j), graph_nodes y
+      WHERE y.place = (x.place + (1 << j)) % (SELECT count(*) FROM graph_nodes) AND x.id <> y.id"""
+    sql = f"""
+graph_nodes AS MATERIALIZED (
+  SELECT id, v, row_number() OVER (ORDER BY md5(id::VARCHAR), id) - 1 AS place FROM (
+    SELECT min(id) AS id, v FROM vectors WHERE list_dot_product(v, v) > 0 GROUP BY v)),
+edges_0 AS MATERIALIZED {nearest(first)}"""
+    for i in range(rounds):
+        met = f"SELECT DISTINCT x.u AS a, y.u AS b FROM meet_{i} x JOIN meet_{i} y ON x.v = y.v AND x.u <> y.u"
+        sql += f""",
+meet_{i} AS MATERIALIZED ({both_ways(f'edges_{i}')} UNION SELECT id, id FROM graph_nodes),
+edges_{i + 1} AS MATERIALIZED {nearest(met)}"""
+    return sql + f", graph AS MATERIALIZED ({both_ways(f'edges_{rounds}')})"
+
+
+def _walk(name: str, ef: int, rounds: int = 4, entries: int = 8, k: int = 10) -> str:
+    """CTEs of the walk over ``graph``, ending in ``name``(query_id, rank, id, d)."""
+    sql = f"""
+{name}_0 AS MATERIALIZED (
+  SELECT q.id AS query_id, n.id AS node, {_dist('q.v', 'n.v')} AS d, false AS opened FROM vectors q, graph_nodes n WHERE n.place < {entries})"""
+    for i in range(rounds):
+        near = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node) <= {ef} AS near FROM {name}_{i}"
+        sql += f""",
+{name}_near_{i} AS MATERIALIZED ({near}),
+{name}_new_{i} AS MATERIALIZED (
+  SELECT DISTINCT f.query_id, g.u AS node FROM {name}_near_{i} f JOIN graph g ON g.v = f.node WHERE near AND NOT opened),
+{name}_{i + 1} AS MATERIALIZED (
+  SELECT query_id, node, d, opened OR near AS opened FROM {name}_near_{i} UNION ALL
+  SELECT w.query_id, w.node, {_dist('q.v', 'n.v')} AS d, false FROM {name}_new_{i} w
+  JOIN vectors q ON q.id = w.query_id JOIN graph_nodes n ON n.id = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_{i} o WHERE o.query_id = w.query_id AND o.node = w.node))"""
+    hits = f"""SELECT s.query_id, r.id, s.d FROM {name}_{rounds} s JOIN graph_nodes n ON n.id = s.node JOIN vectors r ON r.v = n.v WHERE r.id <> s.query_id"""
+    return sql + f", {name} AS MATERIALIZED {_top(hits, k)}"
+
+
 def _top(pairs: str, k: int) -> str:
     """Rank (query_id, id, d) rows."""
     return f"""(SELECT query_id, rank, id, d FROM (
@@ -106,17 +180,27 @@ def _ivf_pairs(vectors: str, probes: int) -> str:
 RANKED = "SELECT query_id, rank, id, round(d, 5) AS distance FROM "
 JOIN_SQL = f"WITH {VECTORS} {RANKED}{_top(EXACT_PAIRS, 10)}"
 
-COMPARED = f"""
-WITH {VECTORS}, {_ivf('vectors')},
+def _compared(ctes: str, pairs: str | None) -> str:
+    """Up to ``per_query``: the share of the true neighbours that ``pairs`` (or a CTE ``actual``) finds at each cutoff."""
+    return f"""
+WITH {VECTORS}, {ctes},
 truth AS {_top(EXACT_PAIRS, 10)},
-actual AS {_top(_ivf_pairs('vectors', 4), 10)},
+{f"actual AS {_top(pairs, 10)}," if pairs else ""}
 both_ranks AS (
   SELECT t.query_id, t.rank AS tr, greatest(t.rank, a.rank) AS m, a.rank IS NOT NULL AS found
   FROM truth t LEFT JOIN actual a ON t.query_id = a.query_id AND t.id = a.id),
 per_query AS (
   SELECT query_id, """ + ", ".join(
-    f"(count(*) FILTER (found AND m <= {n}))::DOUBLE / count(*) FILTER (tr <= {n}) AS f{n}" for n in (1, 5, 10)
-) + " FROM both_ranks GROUP BY query_id) "
+        f"(count(*) FILTER (found AND m <= {n}))::DOUBLE / count(*) FILTER (tr <= {n}) AS f{n}" for n in (1, 5, 10)
+    ) + " FROM both_ranks GROUP BY query_id) "
+
+
+COMPARED = _compared(_ivf("vectors"), _ivf_pairs("vectors", 4))
+TRUE_RECALL = (
+    "SELECT count(*) AS queries_evaluated, "
+    + ", ".join(f"round(avg(f{n}), 5) AS true_recall_at_{n}" for n in (1, 5, 10))
+    + " FROM per_query"
+)
 
 PAIRS = "SELECT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b, max(round(1 - d, 5)) AS similarity FROM {hits} WHERE round(1 - d, 5) >= {least} GROUP BY 1, 2"
 
@@ -232,7 +316,18 @@ SELECT l.id AS query_id, count(*) AS candidates FROM ranked_lists l JOIN assigne
 WHERE list_rank <= 4 GROUP BY l.id""",
     "ivf_search_stored": f"WITH {VECTORS}, {_ivf('vectors')} {RANKED}{_top(_ivf_pairs('vectors', 4), 10)}",
     "lsh_search_stored": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
-    "lsh_search_complete": "SELECT vec_id AS query_id, 10::BIGINT AS found FROM embeddings WHERE vec_id % 20 = 0",
+    # of its buckets of 40 bits only copies share one, so all others are searched exactly
+    "lsh_search_complete": f"WITH {VECTORS} {RANKED}{_top(EXACT_PAIRS + ' WHERE q.id % 20 = 0', 10)}",
+    "ivf_tree_assign": f"WITH {VECTORS}, {_tree('vectors')} SELECT id, list_id, leaf FROM in_leaf",
+    "ivf_tree_search": f"WITH {VECTORS}, {_tree('vectors')} {RANKED}{_top(TREE_PAIRS, 10)}",
+    "graph_edges": f"WITH {VECTORS}, {_graph()} SELECT v, u FROM graph",
+    "graph_search": f"WITH {VECTORS}, {_graph()}, {_walk('walk', 20)} {RANKED}walk",
+    "recall_graph": " UNION ALL ".join(
+        f"SELECT * FROM ({_compared(_graph() + ',' + _walk('actual', ef), None)}{TRUE_RECALL.replace('SELECT ', f'SELECT {ef}::BIGINT AS ef, ', 1)})"
+        for ef in (40, 80)
+    ),
+    "hybrid_ivf_few_probes": f"""WITH {VECTORS}, kinds AS (SELECT *, CASE WHEN id % 97 = 0 THEN 'rare' ELSE label::VARCHAR END AS kind FROM vectors)
+{RANKED}{_top(f"SELECT q.id AS query_id, r.id, {_dist('q.v', 'r.v')} AS d FROM kinds q JOIN kinds r ON q.id <> r.id AND (q.id % 3 = 2 OR r.kind = CASE q.id % 3 WHEN 0 THEN 'rare' ELSE q.kind END)", 10)}""",
     "lsh_search": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
     "duplicate_pairs_hashed": f"WITH {VECTORS}, {_lsh(16, 0)} {PAIRS.format(hits=_top(SHARED_PAIRS, 10), least=0.3)}",
     "duplicate_pairs": f"WITH {VECTORS} {PAIRS.format(hits=_top(EXACT_PAIRS, 10), least=0.3)}",
@@ -245,10 +340,8 @@ WHERE list_rank <= 4 GROUP BY l.id""",
     + " FROM (SELECT query_id, "
     + ", ".join(f"count(*) FILTER (found AND m <= {n}) AS f{n}" for n in (1, 5, 10))
     + " FROM both_ranks GROUP BY query_id)",
-    "recall_true": COMPARED
-    + "SELECT count(*) AS queries_evaluated, "
-    + ", ".join(f"round(avg(f{n}), 5) AS true_recall_at_{n}" for n in (1, 5, 10))
-    + " FROM per_query",
+    "recall_true": COMPARED + TRUE_RECALL,
+    "recall_tree": _compared(_tree("vectors"), TREE_PAIRS) + TRUE_RECALL,
     "benchmark_sample": SAMPLED,
     "sample_reports": "SELECT doc_id AS id, source FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20",
     "latency_summary": """SELECT event_type, count(*) AS queries_evaluated, round(avg(value), 5) AS average_latency_ms,

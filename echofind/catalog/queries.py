@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from echofind.functions import display, text, vectors
 from echofind.functions.embed import embed
-from echofind.operators import ann, evaluate, groups, knn, pairs, validate
+from echofind.operators import ann, evaluate, filtered, graph, groups, knn, pairs, tree, validate
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids, upsert
 from echofind.plans import benchmark, ingest, search
@@ -28,6 +28,8 @@ DIM = 64
 LISTS = 16
 STATUSES = ("UNRESOLVED", "RESOLVED", "New", "closed", "Reopened", "DUPLICATE")
 PROBES = 4
+TOP_LISTS, LEAVES = 4, 5
+DEGREE = 8
 K = 10
 
 
@@ -205,11 +207,79 @@ def lsh_search_stored(spark, sf_dir):
 
 
 def lsh_search_complete(spark, sf_dir):
-    """Long signatures in one table find few; the completed form finds them all."""
+    """Signatures of 40 bits find hardly anything; the completed form then searches all."""
     reports = _vectors(spark, sf_dir)
     queries = _as_queries(reports).where("query_id % 20 = 0")
-    hits = search.neighbours(queries, reports, K, "hnsw", ann.LshIndex(DIM, tables=1, bits=40), flips=0)
-    return hits.groupBy("query_id").agg(F.count("*").alias("found"))
+    return _ranked(search.neighbours(queries, reports, K, "hnsw", ann.LshIndex(DIM, tables=1, bits=40), flips=0))
+
+
+def _tree(reports) -> tree.IvfTree:
+    return tree.train_tree(reports, TOP_LISTS, LEAVES, iterations=1)
+
+
+def _tree_hits(spark, sf_dir) -> DataFrame:
+    reports, path = _vectors(spark, sf_dir), scratch_dir(spark, "tree")
+    index = _tree(reports)
+    tree.write_tree(reports, index, path)
+    return tree.tree_search(_as_queries(reports), spark.read.parquet(path), index, K, lists=2, probes=PROBES)
+
+
+def ivf_tree_assign(spark, sf_dir):
+    reports = _vectors(spark, sf_dir)
+    return tree.assign(reports, _tree(reports)).select("id", F.col("list_id").cast("bigint").alias("list_id"), "leaf")
+
+
+def ivf_tree_search(spark, sf_dir):
+    """Lists in two levels, stored by leaf: the leaves of two lists compete."""
+    return _ranked(_tree_hits(spark, sf_dir))
+
+
+def recall_tree(spark, sf_dir):
+    """True recall of the two-level lists."""
+    reports = _vectors(spark, sf_dir)
+    truth = knn.knn_join(_as_queries(reports), reports, K)
+    return _rounded(evaluate.true_recall(evaluate.compare(truth, _tree_hits(spark, sf_dir))), "queries_evaluated")
+
+
+def _graph(reports) -> graph.GraphIndex:
+    return graph.build_graph(reports, DEGREE, rounds=2)
+
+
+def graph_edges(spark, sf_dir):
+    """The neighbour graph after two rounds, in both directions."""
+    return _graph(_vectors(spark, sf_dir)).edges
+
+
+def graph_search(spark, sf_dir):
+    """A walk over the stored graph, four rounds at most."""
+    reports, path = _vectors(spark, sf_dir), scratch_dir(spark, "graph")
+    graph.write_graph(_graph(reports), path)
+    return _ranked(graph.graph_search(_as_queries(reports), graph.read_graph(spark, path), K, ef=20, rounds=4))
+
+
+def recall_graph(spark, sf_dir):
+    """True recall of the graph at two settings of its dial, four rounds at most."""
+    reports = _vectors(spark, sf_dir)
+    queries, index = materialize(_as_queries(reports), "queries"), _graph(reports)
+    truth = materialize(knn.knn_join(queries, reports, K), "truth")
+    out = None
+    for ef in (40, 80):
+        found = graph.graph_search(queries, index, K, ef, rounds=4)
+        row = _rounded(evaluate.true_recall(evaluate.compare(truth, found)), "queries_evaluated").withColumn("ef", F.lit(ef).cast("bigint"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def hybrid_ivf_few_probes(spark, sf_dir):
+    """Filtered search from 4 of 16 lists and those that may hold nearer ones; one filter value is rare."""
+    product = F.when(F.col("id") % 97 == 0, F.lit("rare")).otherwise(F.col("label").cast("string"))
+    reports, path = _vectors(spark, sf_dir).withColumn("product", product), scratch_dir(spark, "filtered")
+    index = _ivf(reports)
+    filtered.write_filtered(reports, index, path, ("product",))
+    wanted = F.when(F.col("id") % 3 == 0, F.lit("rare")).when(F.col("id") % 3 == 1, F.col("product")).otherwise(F.lit(""))
+    queries = _as_queries(reports, wanted.alias("product"))
+    stored, counts = spark.read.parquet(path), filtered.read_counts(spark, path)
+    return _ranked(filtered.filtered_search(queries, stored, index, counts, K, PROBES, ("product",)))
 
 
 def duplicate_pairs(spark, sf_dir):
@@ -651,6 +721,7 @@ ALL = {
     for f in (
         knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
+        ivf_tree_assign, ivf_tree_search, recall_tree, graph_edges, graph_search, recall_graph, hybrid_ivf_few_probes,
         duplicate_pairs, duplicate_pairs_hashed, duplicate_reports, duplicate_groups, duplicate_groups_vectors,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,
