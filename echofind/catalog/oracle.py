@@ -116,7 +116,7 @@ TREE_PAIRS = f"""SELECT p.id AS query_id, a.id, {_dist('q.v', 'r.v')} AS d FROM
   JOIN vectors q ON q.id = p.id JOIN vectors r ON r.id = a.id"""
 
 
-def _graph(degree: int = 8, rounds: int = 2) -> str:
+def _graph(degree: int = 8, rounds: int = 2, shortcuts: int = 4) -> str:
     """CTEs of the neighbour graph of ``vectors``: graph_nodes(id, v, place) and ``graph``(v, u)."""
 
     def nearest(pairs: str) -> str:
@@ -139,10 +139,14 @@ edges_0 AS MATERIALIZED {nearest(first)}"""
         sql += f""",
 meet_{i} AS MATERIALIZED ({both_ways(f'edges_{i}')} UNION SELECT id, id FROM graph_nodes),
 edges_{i + 1} AS MATERIALIZED {nearest(met)}"""
-    return sql + f", graph AS MATERIALIZED ({both_ways(f'edges_{rounds}')})"
+    return sql + f""",
+ways AS (
+  SELECT x.id AS v, y.id AS u FROM graph_nodes x, range({shortcuts}) s(j), graph_nodes y
+  WHERE y.place = (x.place + (1 << j)) % (SELECT count(*) FROM graph_nodes) AND x.id <> y.id),
+graph AS MATERIALIZED ({both_ways(f'edges_{rounds}')} UNION SELECT v, u FROM ways UNION SELECT u, v FROM ways)"""
 
 
-def _walk(name: str, ef: int, rounds: int = 4, entries: int = 8, k: int = 10) -> str:
+def _walk(name: str, ef: int, rounds: int = 4, entries: int = 32, k: int = 10) -> str:
     """CTEs of the walk over ``graph``, ending in ``name``(query_id, rank, id, d)."""
     sql = f"""
 {name}_0 AS MATERIALIZED (
@@ -286,6 +290,7 @@ SELECT r.id, round({_dist('q.v', 'r.v')}, 5) AS distance FROM vectors q JOIN vec
 ORDER BY {_dist('q.v', 'r.v')}, r.id LIMIT 10""",
     "knn_join": JOIN_SQL,
     "knn_join_cells": JOIN_SQL,
+    "knn_join_pruned": JOIN_SQL,
     "stream_match": JOIN_SQL,
     "knn_hybrid_filter": f"""WITH {VECTORS}
 SELECT r.id, r.label, round({_dist('q.v', 'r.v')}, 5) AS distance FROM vectors q JOIN vectors r ON q.id = 0 AND r.label = 3

@@ -113,6 +113,12 @@ def knn_join_cells(spark, sf_dir):
     return _ranked(knn.knn_join(_as_queries(reports), reports, K, broadcast_queries=0, cell_rows=100))
 
 
+def knn_join_pruned(spark, sf_dir):
+    """The same join, with cells that the triangle inequality rules out left alone."""
+    reports = _vectors(spark, sf_dir)
+    return _ranked(filtered.pruned_join(_as_queries(reports), reports, K, lists=LISTS))
+
+
 def knn_hybrid_filter(spark, sf_dir):
     found = search.hybrid_search(
         _vectors(spark, sf_dir), _first_vector(spark, sf_dir), {"label": 3}, 5, allowed=("label",), dim=DIM
@@ -719,7 +725,7 @@ def stream_watermark(spark, sf_dir):
 ALL = {
     f.__name__: f
     for f in (
-        knn_exact, knn_join, knn_join_cells, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
+        knn_exact, knn_join, knn_join_cells, knn_join_pruned, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
         ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
         ivf_tree_assign, ivf_tree_search, recall_tree, graph_edges, graph_search, recall_graph, hybrid_ivf_few_probes,
         duplicate_pairs, duplicate_pairs_hashed, duplicate_reports, duplicate_groups, duplicate_groups_vectors,

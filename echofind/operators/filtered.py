@@ -121,3 +121,28 @@ def filtered_search(
     if more.isEmpty():
         return found
     return knn.rank_hits(found.drop("rank").unionByName(probe(more).drop("rank")), k)
+
+
+def pruned_join(
+    queries: DataFrame, reports: DataFrame, k: int, filters: tuple[str, ...] = (), lists: int | None = None, **limits
+) -> DataFrame:
+    """The rows of :func:`knn.knn_join`, from the cells of the reports that can hold them.
+
+    The cells are lists of a fresh index (:func:`ann.suggest_lists` of them, within
+    an index's size). A query is sent to its nearest cells until they hold k
+    reports, and then to those that the triangle inequality does not rule out;
+    where vectors lie in clusters that is few of them. A report is sent once per
+    chunk of queries in its cell.
+    """
+    rows = reports.select("id", "embedding", *filters)
+    n = rows.count()
+    if n == 0:
+        return knn.knn_join(queries, rows, k, filters, **limits)
+    usable = rows.where(F.exists("embedding", lambda x: x != 0))
+    width = rows.select(F.size("embedding")).first()[0]
+    most = max(1, ann.INDEX_BYTES // (8 * max(width, 1)))
+    if usable.isEmpty():
+        return knn.knn_join(queries, rows, k, filters, **limits)
+    index = ann.train_ivf(usable, min(lists or ann.suggest_lists(n), most), iterations=1)
+    stored = materialize(rows.withColumn("list_id", index.list_id(F.col("embedding"))), "cells")
+    return filtered_search(queries, stored, index, list_counts(stored, index, filters), k, 1, filters, **limits)

@@ -6,6 +6,9 @@ introduced to each other and the nearest are kept. One grouped pass per round co
 the vectors that meet at a node; both directions are bounded by ``degree``, so a group
 never holds more than 2 * degree + 1 vectors, however popular one is.
 
+To these come a few of the first steps, in both directions: they lead from one cluster
+to others, between which nearest partners alone leave no way.
+
 Searched by rounds of joins: a query keeps all nodes it has met, and in each round the
 nodes among its ``ef`` best that were not opened yet are opened, until none is left. A
 larger ``ef`` finds more and reads more.
@@ -31,7 +34,7 @@ from echofind.operators.upsert import assign_ids
 from echofind.session import materialize
 
 # The dials of the graph.
-DEGREE, ROUNDS, EF, ENTRIES = 16, 4, 80, 8
+DEGREE, ROUNDS, EF, ENTRIES, SHORTCUTS = 16, 4, 80, 32, 4
 #: Reports of one vector that a search can return; more than the largest k.
 COPIES = 101
 
@@ -96,7 +99,9 @@ def _both_ways(edges: DataFrame, degree: int) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("b", "a")).distinct()
 
 
-def build_graph(reports: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> GraphIndex:
+def build_graph(
+    reports: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, shortcuts: int = SHORTCUTS
+) -> GraphIndex:
     """The graph of all reports with a direction."""
     usable = reports.select("id", "embedding").where(F.exists("embedding", lambda x: x != 0))
     marked = usable.withColumn("mark", _marks("embedding"))
@@ -123,7 +128,12 @@ def build_graph(reports: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS)
         pairs = groups.mapInArrow(_introduce(degree), "a bigint, b bigint, units bigint").distinct()
         edges = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= degree).drop("place")
         edges = materialize(edges, "edges")
-    return GraphIndex(nodes, materialize(_both_ways(edges, degree), "graph"), members)
+    steps = F.explode(F.array(*[F.lit(1 << j).cast("bigint") for j in range(shortcuts)])) if shortcuts else F.lit(0)
+    ways = nodes.select(F.col("node").alias("v"), "place", steps.alias("step"))
+    ways = ways.select("v", ((F.col("place") + F.col("step")) % max(n, 1)).alias("place"))
+    ways = ways.join(nodes.select(F.col("node").alias("u"), "place"), "place").where("u <> v").select("v", "u")
+    both = _both_ways(edges, degree).union(ways).union(ways.select("u", "v")).distinct()
+    return GraphIndex(nodes, materialize(both, "graph"), members)
 
 
 def write_graph(index: GraphIndex, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echofind.functions.embed import Embedder, embed_report
 from echofind.functions.text import blank_to_null
-from echofind.operators import ann, knn
+from echofind.operators import ann, filtered, graph, knn, tree
 from echofind.operators.validate import check_index_type, check_search, check_vector, request_reason, split
 from echofind.schemas import FILTER_COLUMNS
 from echofind.session import broadcast_if_small, materialize
@@ -21,21 +21,29 @@ FILTERS = ("product", "component")
 STORED_NAMES = {"component_type": "component"}
 
 
+Index = ann.IvfIndex | ann.LshIndex | tree.IvfTree | graph.GraphIndex
+
+
 def neighbours(
     queries: DataFrame,
     reports: DataFrame,
     k: int,
     index_type: str = "exact",
-    index: ann.IvfIndex | ann.LshIndex | None = None,
+    index: Index | None = None,
     filters: tuple[str, ...] = (),
     probes: int = ann.PROBES,
     flips: int = ann.FLIPS,
+    lists: int = 4,
+    ef: int = graph.EF,
+    counts: DataFrame | None = None,
     **limits,
 ) -> DataFrame:
     """(query_id, rank, id, distance) by the chosen method.
 
-    ``hnsw`` is answered by hyperplane hashing and always returns k rows where
-    k exist; ``ivfflat`` needs a trained index.
+    ``ivfflat`` needs a trained index: lists (with ``counts`` of the filter values
+    the result is exact, from few lists) or a tree of lists over reports stored
+    by leaf. ``hnsw`` is answered by a graph with its dial ``ef``, or by hyperplane
+    hashing; both return k rows where k exist.
     """
     check_index_type(index_type)
     if index_type == "exact":
@@ -43,10 +51,35 @@ def neighbours(
     if index is None:
         raise ValueError(f"{index_type} needs an index")
     if index_type == "ivfflat":
+        if isinstance(index, tree.IvfTree):
+            return tree.tree_search(queries, reports, index, k, lists, probes, filters, **limits)
+        if counts is not None:
+            return filtered.filtered_search(queries, reports, index, counts, k, probes, filters, **limits)
         return ann.ivf_search(queries, reports, index, k, probes, filters, **limits)
+    if isinstance(index, graph.GraphIndex):
+        return _walked(queries, reports, index, k, max(ef, k), filters, **limits)
     return ann.lsh_search(queries, reports, index, k, flips, filters, complete=True, **limits)
 
 
+def _walked(queries, reports, index: graph.GraphIndex, k: int, ef: int, filters, **limits) -> DataFrame:
+    """The walk's ``ef`` best that match; queries still short go through the exact search."""
+    queries = materialize(queries, "queries")
+    found = graph.graph_search(queries, index, ef if filters else k, ef)
+    if filters:
+        kept = reports.select("id", *[F.col(f).alias(f"_{f}") for f in filters])
+        asked = queries.select("query_id", *filters)
+        found = found.drop("rank").join(kept, "id").join(asked, "query_id")
+        for f in filters:
+            found = found.where((F.coalesce(F.col(f), F.lit("")) == "") | (F.col(f) == F.col(f"_{f}")))
+        found = knn.rank_hits(found.select("query_id", "id", "distance"), k)
+    found = materialize(found, "walked")
+    enough = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(enough, "query_id", "left_anti")
+    if short.isEmpty():
+        return found
+    return found.join(enough, "query_id", "left_semi").unionByName(knn.knn_join(short, reports, k, filters, **limits))
+
+
 def search(
     requests: DataFrame,
     reports: DataFrame,
@@ -132,12 +165,14 @@ def hybrid_search(
     allowed: Sequence[str] = FILTER_COLUMNS,
     dim: int | None = None,
     index_type: str = "exact",
-    index: ann.IvfIndex | ann.LshIndex | None = None,
+    index: Index | None = None,
+    counts: DataFrame | None = None,
     **dials,
 ) -> DataFrame:
     """Filter by equality, then rank by distance, exactly or with an index and its dials.
 
-    The filter reaches the scan. ``component_type`` means the stored table's
+    With ``counts`` (of reports stored by list) the lists are chosen by what they
+    hold of the filter's values, and the result is exact. The filter reaches the scan. ``component_type`` means the stored table's
     ``component`` where reports have no column of that name.
     """
     check_index_type(index_type)
@@ -147,6 +182,12 @@ def hybrid_search(
         return knn.nearest(some, vector, k, dim)
     check_vector(vector, dim)
     query = reports.sparkSession.createDataFrame([(0, list(vector))], "query_id bigint, embedding array<float>")
-    hits = materialize(neighbours(query, some, k, index_type, index, **dials), "hits")
+    if counts is not None:
+        names = {n: STORED_NAMES.get(n, n) if n not in reports.columns else n for n in filters or {}}
+        query = query.select("*", *[F.lit(str(value)).alias(names[n]) for n, value in (filters or {}).items()])
+        hits = neighbours(query, reports, k, index_type, index, tuple(names.values()), counts=counts, **dials)
+    else:
+        hits = neighbours(query, some, k, index_type, index, **dials)
+    hits = materialize(hits, "hits")
     found = some.join(F.broadcast(hits.select("id", "distance", "rank")), "id")  # k rows
     return found.orderBy("rank").drop("rank")
