@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from echofind.session import materialize
+from echofind.operators.components import components  # noqa: F401  (shared with the modules here)
 
 #: Text bytes that numpy code works on at a time; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -103,9 +103,24 @@ def sum_hashes(sums: np.ndarray, starts, ends) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(sums))[starts])
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of a cryptographic hash of each byte span."""
+    raw, key = data.tobytes(), seed.to_bytes(8, "little")
+    found = [hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(found), np.uint64)
+
+
+#: Spans of so many bytes are not hashed by running sums, which some long regular strings share.
+LONG_SPAN = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each byte span."""
-    return sum_hashes(prefix_sums(data, seed), starts, ends)
+    hashes = sum_hashes(prefix_sums(data, seed), starts, ends)
+    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    if len(long):
+        hashes[long] = digests(data, starts[long], ends[long], seed)
+    return hashes
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -128,44 +143,3 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tu
         word = hashes[np.minimum(at + k, len(hashes) - 1)]
         out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(at + k < last, word, np.uint64(k + 1))
     return mix(out), edges
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components: ``node`` and ``root``, the smallest node reached.
-
-    ``edges`` has columns ``a`` and ``b`` of any type with an order. Larger
-    neighbours are hung on the smallest neighbour, then the smaller ones, in
-    turn, until nothing moves (two-phase star contraction): rounds grow with the
-    logarithm of a component's size. Each round's edges are written under the
-    checkpoint folder. A hub costs one row per neighbour; minima are combined
-    before the shuffle and the join of a hot hub can be split by AQE. Nodes
-    without an edge to another node are absent.
-    """
-
-    def minima(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a").agg(F.min("b").alias("least"))
-
-    def large(pairs: DataFrame) -> DataFrame:
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = minima(both).select("a", F.least("a", "least").alias("least"))
-        return both.join(best, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-
-    def small(pairs: DataFrame) -> DataFrame:  # every pair has a > b
-        best = minima(pairs)
-        moved = pairs.join(best, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return moved.union(best.select("a", F.col("least").alias("b"))).distinct()
-
-    def state(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, name)
-    seen = state(now)
-    while True:
-        now = materialize(small(large(now)), name)
-        found = state(now)
-        if found == seen:
-            break
-        seen = found
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -11,6 +11,10 @@ CLASH = (
     "mark slice words before query doc rank parts notices decoded least label n_removed predicted class_id"
 ).split()
 
+#: Strings that collide under running sums modulo a power of two, whatever the letters' values.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
 _SYLLABLES = "ta ri no pe lu ka mi so de fu ga zo".split()
 
 

@@ -96,3 +96,11 @@ def test_edges(spark):
 def test_a_repeated_row_stays_once(spark):
     df = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (2, "")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in near_text.deduplicate(df).collect()) == [1, 2]
+
+
+def test_words_of_equal_sums_are_told_apart(spark):
+    rest = " one two three four five"
+    texts = [edges.THUE, edges.MORSE, edges.THUE, edges.THUE + rest, edges.MORSE + rest]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_text.join(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
