@@ -387,9 +387,12 @@ FROM embeddings WHERE label % 2 = 1""",
 FROM conversations""",
     "run_rejects": """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown index_type'
   WHEN event_id % 3 < 2 THEN 'k must be positive' END AS reason FROM events""",
-    "import_counts": """WITH u AS (SELECT CASE WHEN lang <> 'es' THEN md5(text) END AS e FROM documents)
+    "known_keys": """SELECT DISTINCT md5(text) AS external_id FROM documents WHERE md5(text) IN
+  (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)
+UNION SELECT DISTINCT md5(text) FROM benchmark WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)""",
+    **dict.fromkeys(("import_counts", "import_counts_keyed"), """WITH u AS (SELECT CASE WHEN lang <> 'es' THEN md5(text) END AS e FROM documents)
 SELECT 0::BIGINT AS upload, count(DISTINCT e) + count(*) FILTER (e IS NULL) AS imported, count(e) - count(DISTINCT e) AS rejected FROM u
-UNION ALL SELECT 1, count(*) FILTER (e IS NULL), count(e) FROM u""",
+UNION ALL SELECT 1, count(*) FILTER (e IS NULL), count(e) FROM u"""),
     "latency_with_gaps": """SELECT event_type, count(*) AS queries_evaluated, round(avg(ms), 5) AS average_latency_ms,
   round(quantile_cont(ms, 0.95), 5) AS p95_latency_ms
 FROM (SELECT event_type, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 > 0 THEN value END
@@ -398,9 +401,9 @@ FROM (SELECT event_type, CASE WHEN event_type = 'view' THEN CASE WHEN event_id %
   CASE WHEN doc_id % 3 = 1 THEN source END AS component FROM documents""",
     "dedupe_external_id": """SELECT doc_id, external_id, external_id IS NOT NULL AND row_number() OVER (PARTITION BY external_id ORDER BY doc_id) > 1 AS is_repeat
 FROM (SELECT doc_id, CASE WHEN lang <> 'es' THEN md5(text) END AS external_id FROM documents)""",
-    "stream_dedupe": """SELECT doc_id, external_id, 'external_id is not unique' AS reason
+    **dict.fromkeys(("stream_dedupe", "stream_dedupe_keyed"), """SELECT doc_id, external_id, 'external_id is not unique' AS reason
 FROM (SELECT doc_id, md5(text) AS external_id FROM documents WHERE lang <> 'es')
-QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY doc_id) > 1""",
+QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY doc_id) > 1"""),
     "alias_columns": """SELECT doc_id, CASE WHEN lang = 'en' THEN source || '-' || doc_id ELSE doc_id::VARCHAR END AS external_id, text AS summary,
   '' AS description, NULL::VARCHAR AS product, CASE WHEN lang = 'fr' THEN lang ELSE source END AS component,
   CASE WHEN lang = 'de' THEN 'UNRESOLVED' ELSE upper(lang) END AS resolution_status,

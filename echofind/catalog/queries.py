@@ -22,6 +22,7 @@ from echofind.plans import benchmark, ingest, search
 from echofind.schemas import BUG_REPORTS, DIMENSION
 from echofind.session import materialize, scratch_dir, spread
 from echofind.sources import csv, jsonl, tables
+from echofind.sources.keys import open_keys
 from echofind.streaming import ingest as streaming
 
 DIM = 64
@@ -556,6 +557,25 @@ def import_counts(spark, sf_dir):
     return spark.createDataFrame(rows, "upload bigint, imported bigint, rejected bigint")
 
 
+def import_counts_keyed(spark, sf_dir):
+    """The same, with the stored ids asked of a key table by bucket."""
+    table, upload = scratch_dir(spark, "reports"), _uploads(_table(spark, sf_dir, "documents"))
+    keyed = open_keys(spark, scratch_dir(spark, "keys"), buckets=16)
+    loads = [ingest.load_reports(upload, table, keys=keyed) for _ in range(2)]
+    rows = [(n, load.imported, load.rejects.count()) for n, load in enumerate(loads)]
+    return spark.createDataFrame(rows, "upload bigint, imported bigint, rejected bigint")
+
+
+def known_keys(spark, sf_dir):
+    """Which texts of the benchmark and the documents a key table of the even documents holds."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    keyed = open_keys(spark, scratch_dir(spark, "keys"), buckets=16)
+    for load, rest in enumerate((0, 2)):  # two loads
+        keyed.add(docs.where(F.col("doc_id") % 4 == rest).select(F.md5("text").alias("k")), load)
+    asked = docs.select(F.md5("text").alias("external_id")).union(items.select(F.md5("text")))
+    return keyed.known(asked)
+
+
 def latency_with_gaps(spark, sf_dir):
     """Latencies of which clicks have none and views miss some."""
     value = F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 3 > 0, F.col("value")))
@@ -687,6 +707,15 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(f"{table}_rejects").select(F.col("position").alias("doc_id"), "external_id", "reason")
 
 
+def stream_dedupe_keyed(spark, sf_dir):
+    """The same with the stored ids in a key table, a load per micro-batch."""
+    table, checkpoint = scratch_dir(spark, "reports"), scratch_dir(spark, "checkpoint")
+    keyed = open_keys(spark, scratch_dir(spark, "keys"), buckets=16)
+    arriving = _uploads(_stream(spark, sf_dir, "documents", _thirds))
+    streaming.ingest_stream(arriving, table, checkpoint, keys=keyed).awaitTermination()
+    return spark.read.parquet(f"{table}_rejects").select(F.col("position").alias("doc_id"), "external_id", "reason")
+
+
 def stream_match(spark, sf_dir):
     target, checkpoint = scratch_dir(spark, "matches"), scratch_dir(spark, "checkpoint")
     halves = [F.col("vec_id") % 2 == 0, F.col("vec_id") % 2 == 1]
@@ -732,9 +761,9 @@ ALL = {
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
         clean_service, clean_pipeline, normalize_clean, normalize_rejects, embed_hash, l2_normalize,
         vector_text_roundtrip, seed_vectors, similarity_band, status_class,
-        validate_rejects, vector_rejects, request_rejects, run_rejects, import_counts, latency_with_gaps, csv_by_header,
+        validate_rejects, vector_rejects, request_rejects, run_rejects, import_counts, import_counts_keyed, known_keys, latency_with_gaps, csv_by_header,
         dedupe_external_id, alias_columns, upsert_latest, assign_report_ids,
         csv_roundtrip, clean_dataset, jsonl_export, bulk_load,
-        stream_ingest, stream_dedupe, stream_match, stream_upsert, stream_watermark,
+        stream_ingest, stream_dedupe, stream_dedupe_keyed, stream_match, stream_upsert, stream_watermark,
     )
 }

@@ -15,6 +15,7 @@ from echofind.operators.validate import check_vector, mark_repeats, report_reaso
 from echofind.schemas import BUG_REPORTS, DIMENSION, UPLOAD_COLUMNS, strings
 from echofind.session import materialize
 from echofind.sources import csv, jsonl, tables
+from echofind.sources.keys import BUCKETS, KeyTable, create_keys
 
 NOT_UNIQUE = "external_id is not unique"
 #: The column that tells the rows of an upload apart.
@@ -26,13 +27,16 @@ class Load(NamedTuple):
     rejects: DataFrame
 
 
-def accept_reports(upload: DataFrame, stored: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+def accept_reports(
+    upload: DataFrame, stored: DataFrame, dim: int | None = None, keys: KeyTable | None = None, before: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rejects with ``reason``) of an upload, by all table rules.
 
     Rows keep their ``position`` in the upload, and get a number of their own
     (``row_number``): positions may repeat. The first row of a repeated
     external_id, by both, is kept, unless the id is stored already. Vectors that
-    come with the upload must have ``dim`` values.
+    come with the upload must have ``dim`` values. With ``keys`` (its loads below
+    ``before``) the stored ids are asked of that table, and ``stored`` is not read.
     """
     if "position" not in upload.columns:
         upload = upload.withColumn("position", F.monotonically_increasing_id())
@@ -40,9 +44,10 @@ def accept_reports(upload: DataFrame, stored: DataFrame, dim: int | None = None)
     rows = materialize(service_columns(numbered), "upload")  # written, so numbers stay
     valid, invalid = split(rows, report_reason(dim if "embedding" in upload.columns else None))
     # Uniqueness is judged on numbers and keys only; whole rows are not shuffled for it.
-    keys = valid.select(ROW, F.struct("position", ROW).alias("place"), "external_id").filter("external_id IS NOT NULL")
-    again = mark_repeats(keys, "external_id", "place").filter("is_repeat")
-    known = keys.join(stored_keys(keys, stored, "external_id"), "external_id")
+    ids = valid.select(ROW, F.struct("position", ROW).alias("place"), "external_id").filter("external_id IS NOT NULL")
+    again = mark_repeats(ids, "external_id", "place").filter("is_repeat")
+    held = stored_keys(ids, stored, "external_id") if keys is None else keys.known(ids.select("external_id"), before)
+    known = ids.join(held, "external_id")
     repeated = materialize(again.select(ROW).union(known.select(ROW)).distinct(), "repeated")
     not_unique = valid.join(repeated, ROW, "left_semi").withColumn("reason", F.lit(NOT_UNIQUE))
     return valid.join(repeated, ROW, "left_anti"), invalid.unionByName(not_unique).drop(ROW)
@@ -53,14 +58,17 @@ def load_reports(
     table: str,
     embedder: Embedder | None = None,
     on_reject: str = "reject",
+    keys: KeyTable | None = None,
 ) -> Load:
     """Validate, clean, embed and append; ids follow the order of the upload.
 
-    ``on_reject='fail'`` writes nothing if any row breaks a rule.
+    ``on_reject='fail'`` writes nothing if any row breaks a rule. ``keys`` holds the
+    external ids of the table, is asked instead of it, and takes up the new ones: a
+    load that fails after its rows were appended is put right by :func:`key_reports`.
     """
     spark = upload.sparkSession
     stored = tables.read_table(spark, table)
-    accepted, rejects = accept_reports(upload, stored, embedder.dim if embedder else DIMENSION)
+    accepted, rejects = accept_reports(upload, stored, embedder.dim if embedder else DIMENSION, keys)
     if on_reject == "fail" and (first := rejects.first()) is not None:
         raise ValueError(f"nothing imported: {first.reason}")
     numbered = assign_ids(accepted, ["position", ROW], tables.last_id(stored))
@@ -68,9 +76,18 @@ def load_reports(
     if "embedding" not in reports.columns:
         reports = with_embedding(reports, embedder)
     imported = tables.append(complete(reports), table)
+    if keys is not None:
+        keys.add(accepted.select("external_id"), keys.next_load())
     return Load(imported, rejects)
 
 
+def key_reports(spark: SparkSession, table: str, path: str, buckets: int = BUCKETS) -> KeyTable:
+    """A new key table, at ``path``, of the external ids a report table holds."""
+    keys = create_keys(spark, path, buckets)
+    keys.add(tables.read_table(spark, table).select("external_id"), 0)
+    return keys
+
+
 def add_report(
     spark: SparkSession, table: str, summary: str, embedding: Sequence[float] | None = None, embedder: Embedder | None = None, **fields: str
 ) -> int | None:

@@ -23,6 +23,7 @@ from echofind.plans.search import neighbours
 from echofind.schemas import BUG_REPORTS, DIMENSION
 from echofind.session import materialize, scratch_scope
 from echofind.sources import tables
+from echofind.sources.keys import KeyTable
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -59,22 +60,31 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest_stream(
-    stream: DataFrame, table: str, checkpoint: str, embedder: Embedder | None = None, order: Sequence[str] = ("position",)
+    stream: DataFrame,
+    table: str,
+    checkpoint: str,
+    embedder: Embedder | None = None,
+    order: Sequence[str] = ("position",),
+    keys: KeyTable | None = None,
 ) -> StreamingQuery:
     """Validate, clean, embed and append arriving reports.
 
     An external_id that is stored, or came earlier in the batch, is not stored
     again, however late the repeat; a late report is kept. Rejects go to
-    ``<table>_rejects``.
+    ``<table>_rejects``. With ``keys``, a batch opens the buckets of that table which
+    may hold its ids instead of reading all that are stored; it is a load there, and
+    a replayed batch takes the place of the first.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         stored = read_batches(batch.sparkSession, table, BUG_REPORTS, before=batch_id)
-        accepted, rejects = accept_reports(batch, stored, embedder.dim if embedder else DIMENSION)
+        accepted, rejects = accept_reports(batch, stored, embedder.dim if embedder else DIMENSION, keys, before=batch_id)
         write_batch(rejects, f"{table}_rejects", batch_id)
         numbered = assign_ids(accepted, [*order, ROW], tables.last_id(stored))
         reports = complete(with_embedding(with_cleaned_text(numbered), embedder))
         write_batch(reports, table, batch_id)
+        if keys is not None:
+            keys.add(accepted.select("external_id"), batch_id)
 
     return run_available(stream, checkpoint, load)
 
