@@ -88,6 +88,16 @@ assigned AS (SELECT id, list_id FROM ranked_lists WHERE list_rank = 1)"""
     )
 
 
+GROWN = f"""even AS (SELECT * FROM vectors WHERE id % 2 = 0), {_ivf('even')},
+ranked_all AS (
+  SELECT id, list_id, {_dist('v', 'c')} AS d, row_number() OVER (PARTITION BY id ORDER BY {_dist('v', 'c')}, list_id) AS list_rank
+  FROM vectors, c2),
+assigned_all AS (SELECT id, list_id, d FROM ranked_all WHERE list_rank = 1)"""
+GROWN_PAIRS = f"""SELECT l.id AS query_id, a.id, {_dist('q.v', 'r.v')} AS d FROM ranked_all l
+  JOIN assigned_all a ON l.list_id = a.list_id AND l.list_rank <= 4 AND l.id <> a.id
+  JOIN vectors q ON q.id = l.id JOIN vectors r ON r.id = a.id"""
+
+
 def _tree(vectors: str, lists: int = 4, width: int = 5, top_probes: int = 2, probes: int = 4) -> str:
     """CTEs of two-level lists: ``in_leaf``(id, list_id, leaf) and ``probed_leaves``(id, leaf)."""
     return f"""{_ivf(vectors, lists, 1)},
@@ -320,6 +330,10 @@ FROM {_top(TEXT_PAIRS, 5)} t JOIN cleaned c ON c.id = t.id""",
 SELECT l.id AS query_id, count(*) AS candidates FROM ranked_lists l JOIN assigned a ON l.list_id = a.list_id
 WHERE list_rank <= 4 GROUP BY l.id""",
     "ivf_search_stored": f"WITH {VECTORS}, {_ivf('vectors')} {RANKED}{_top(_ivf_pairs('vectors', 4), 10)}",
+    "ivf_append": f"WITH {VECTORS}, {GROWN} {RANKED}{_top(GROWN_PAIRS, 10)}",
+    "ivf_drift": f"""WITH {VECTORS}, {GROWN}
+SELECT id % 2 AS load, list_id, count(*) AS reports, round(avg(d), 5) AS mean_distance FROM assigned_all GROUP BY ALL""",
+    "ivf_merge_split": JOIN_SQL,
     "lsh_search_stored": f"WITH {VECTORS}, {_lsh(8, 2)} {RANKED}{_top(SHARED_PAIRS, 10)}",
     # of its buckets of 40 bits only copies share one, so all others are searched exactly
     "lsh_search_complete": f"WITH {VECTORS} {RANKED}{_top(EXACT_PAIRS + ' WHERE q.id % 20 = 0', 10)}",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from echofind.functions import display, text, vectors
 from echofind.functions.embed import embed
-from echofind.operators import ann, evaluate, filtered, graph, groups, knn, pairs, tree, validate
+from echofind.operators import ann, evaluate, filtered, graph, groups, growing, knn, lsa, pairs, tree, validate
 from echofind.operators.normalize import normalize_reports, service_columns, with_cleaned_text, with_embedding
 from echofind.operators.upsert import assign_ids, upsert
 from echofind.plans import benchmark, ingest, search
@@ -163,6 +163,15 @@ def text_search(spark, sf_dir):
     )
 
 
+def text_search_lsa(spark, sf_dir):
+    """The texts of the benchmark among the documents, with vectors learnt from the documents."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("cleaned_text"))
+    model = lsa.train_lsa(docs, dim=DIMENSION, features=2048)
+    reports = materialize(spread(docs, "id").select("id", embed(F.col("cleaned_text"), model).alias("embedding")), "lsa-reports")
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text"), model).alias("embedding"))
+    return _ranked(knn.knn_join(asked, reports, 5))
+
+
 # approximate search
 
 
@@ -206,6 +215,37 @@ def ivf_search_stored(spark, sf_dir):
     return _ranked(ann.ivf_search(_as_queries(reports), spark.read.parquet(path), index, K, PROBES))
 
 
+def _grown(spark, sf_dir):
+    """Lists trained on even vectors, to which the odd ones come as a second load."""
+    reports, path = _vectors(spark, sf_dir), scratch_dir(spark, "loads")
+    index = _ivf(reports.where("id % 2 = 0"))
+    for load in (0, 1):
+        growing.append_ivf(reports.where(F.col("id") % 2 == load), index, path, load)
+    return reports, index, growing.read_ivf(spark, path)
+
+
+def ivf_append(spark, sf_dir):
+    reports, index, stored = _grown(spark, sf_dir)
+    return _ranked(ann.ivf_search(_as_queries(reports), stored, index, K, PROBES))
+
+
+def ivf_drift(spark, sf_dir):
+    _, index, stored = _grown(spark, sf_dir)
+    figures = growing.drift(stored, index)
+    return figures.select(
+        F.col("load").cast("bigint").alias("load"), F.col("list_id").cast("bigint").alias("list_id"), "reports",
+        F.round("mean_distance", 5).alias("mean_distance"),
+    )
+
+
+def ivf_merge_split(spark, sf_dir):
+    """The loads as one, lists of over 20 reports halved; probing every list then finds what exact search does."""
+    reports, index, stored = _grown(spark, sf_dir)
+    target = scratch_dir(spark, "merged")
+    index = growing.merge_ivf(stored, index, target, most_rows=20)
+    return _ranked(ann.ivf_search(_as_queries(reports), growing.read_ivf(spark, target), index, K, index.lists))
+
+
 def lsh_search_stored(spark, sf_dir):
     """The same over a stored table of buckets."""
     reports, path, index = _vectors(spark, sf_dir), scratch_dir(spark, "lsh"), ann.LshIndex(DIM)
@@ -754,8 +794,8 @@ def stream_watermark(spark, sf_dir):
 ALL = {
     f.__name__: f
     for f in (
-        knn_exact, knn_join, knn_join_cells, knn_join_pruned, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search,
-        ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
+        knn_exact, knn_join, knn_join_cells, knn_join_pruned, knn_hybrid_filter, hybrid_two_filters, hybrid_ivf, hybrid_hashed, search_exclude_self, text_search, text_search_lsa,
+        ivf_assign, ivf_index_table, ivf_search, ivf_search_stored, ivf_append, ivf_drift, ivf_merge_split, ivf_candidates, lsh_search, lsh_search_stored, lsh_search_complete,
         ivf_tree_assign, ivf_tree_search, recall_tree, graph_edges, graph_search, recall_graph, hybrid_ivf_few_probes,
         duplicate_pairs, duplicate_pairs_hashed, duplicate_reports, duplicate_groups, duplicate_groups_vectors,
         recall_hit_rate, recall_true, benchmark_sample, sample_reports, latency_summary, benchmark_history, vector_audit,
