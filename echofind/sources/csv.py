@@ -1,62 +1,47 @@
-"""CSV in and out. All columns are read as strings by header name, file by file.
+"""CSV in and out. All columns are read as strings by header name.
 
-A file with quoted line breaks cannot be split, so one file is one task: give
-large inputs as many files.
+Files are split over tasks (see :mod:`records`); those with one header are parsed
+alike, and columns of different files meet by name.
 """
 
 from __future__ import annotations
 
-import csv
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofind.functions.text import na_to_null
 from echofind.operators.validate import require_columns
 from echofind.schemas import RAW_COLUMNS, UPLOAD_COLUMNS
+from echofind.sources.records import read_records
+
+_OPTIONS = {"multiLine": "true", "quote": '"', "escape": '"'}
+
 
-_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-
-
-def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path by the names in their first line, which the driver reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    found: dict[tuple[str, ...], list[str]] = {}
-    for status in fs.globStatus(folder) or []:
-        for entry in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
-            file = entry.getPath()
-            if entry.isDirectory() or file.getName().startswith(("_", ".")) or entry.getLen() == 0:
-                continue
-            stream, codec = fs.open(file), codecs.getCodec(file)
-            stream = codec.createInputStream(stream) if codec is not None else stream
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = reader.readLine()
-            reader.close()
-            names = next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
-            found.setdefault(tuple(names), []).append(file.toString())
-    return found
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """All files of a path; those with one header are read together, groups meet by column name."""
-    groups = _headers(spark, path)
-    if len(groups) <= 1:
-        return spark.read.options(**_OPTIONS).csv(path)
-    parts = [spark.read.options(**_OPTIONS).csv(files) for files in groups.values()]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _read(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
+    """All files of a path; ``position`` names a column for the place of each row in them."""
+    rows, layouts = read_records(spark, path)
+    places: dict[str, list] = {}
+    for i, names in enumerate(layouts):
+        schema = ", ".join(f"c{j} string" for j in range(len(names)))
+        parsed = F.from_csv("record", schema, _OPTIONS)
+        rows = rows.withColumn(f"p{i}", F.when(F.col("layout") == i, parsed) if len(layouts) > 1 else parsed)
+        for j, name in enumerate(names):
+            places.setdefault(name, []).append(F.col(f"p{i}.c{j}"))
+    columns = [F.coalesce(*found).alias(name) for name, found in places.items()]
+    return rows.select(*columns, *([F.col("position").alias(position)] if position else []))
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """An uploaded report file; known columns it lacks are NULL."""
+    """An uploaded report file; known columns it lacks are NULL.
+
+    ``position`` is the place of a row by file and line, which orders ids and repeats.
+    """
     if not path.lower().endswith(".csv"):
         raise ValueError("upload a .csv file")
-    df = _read(spark, path)
+    df = _read(spark, path, position="line of the upload")
     return df.select(
-        *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in UPLOAD_COLUMNS]
+        *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in UPLOAD_COLUMNS],
+        F.col("line of the upload").alias("position"),
     )
 
 
