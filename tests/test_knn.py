@@ -71,6 +71,28 @@ def test_k_beyond_the_table_returns_all_rows(reports, queries):
     assert knn.knn_join(queries, reports, N + 50, **CELLS).count() == N * (N - 1)
 
 
+def test_small_cells_send_no_row_more_often(monkeypatch, spark, data, reports, queries):
+    sent = []
+    ranked = knn.rank_hits
+    monkeypatch.setattr(knn, "rank_hits", lambda hits, k: sent.append(hits.count()) or ranked(hits, k))
+    got = ranks(knn.knn_join(queries, reports, K, broadcast_queries=0, cell_rows=2))
+    assert got == brute(data, K)
+    side = math.isqrt(knn.WAVES * spark.sparkContext.defaultParallelism - 1) + 1
+    assert sent[0] <= side * N * K  # however small the cells are
+
+
+def test_nearly_equal_distances_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=DIM) + rng.normal(size=(60, DIM)) * 3e-5  # apart by less than single precision shows
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, embedding array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), "embedding", F.col("id").alias("exclude_id"))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    apart = np.rint((1 - units @ units.T) * 1e9)
+    expected = {(q, n + 1, r) for q in range(60) for n, r in enumerate(sorted((r for r in range(60) if r != q), key=lambda r: (apart[q, r], r))[:K])}
+    for limits in ({}, CELLS):
+        assert ranks(knn.knn_join(asked, rows, K, **limits)) == expected
+
+
 def test_single_vector_equals_join(data, reports):
     got = [r.id for r in knn.nearest(reports, list(data[0][3]), K, DIM).collect()]
     assert [(3, i + 1, r) for i, r in enumerate([g for g in got if g != 3])] == sorted(
