@@ -1,7 +1,9 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from echofind.catalog import queries
 from echofind.plans import ingest
 from echofind.schemas import BUG_REPORTS
 from echofind.session import scratch_dir
@@ -38,6 +40,24 @@ def test_repeats_over_files_and_replay(spark):
     assert _stored(spark, table) == wanted
 
 
+@pytest.mark.parametrize("low", [0, 90])  # the last or the first part is small, the second empty
+def test_a_part_that_arrives_in_many_files_is_one_batch(monkeypatch, spark, low):
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    source = scratch_dir(spark, "source")
+    spark.range(100).withColumn("text", F.lit("x")).withColumnRenamed("id", "doc_id").write.parquet(f"{source}/documents.parquet")
+    cut = [F.col("doc_id") < 95 - low, F.col("doc_id").between(95 - low, 94 - low), F.col("doc_id") >= 95 - low]
+    stream, batches = queries._stream(spark, source, "documents", lambda _: cut), []
+
+    def look(batch, _):
+        batches.append(sorted(r.doc_id for r in batch.select("doc_id").collect()))
+        parts.append(batch.select(F.input_file_name()).distinct().count())
+
+    parts = []
+    streaming.run_available(stream, scratch_dir(spark, "checkpoint"), look).awaitTermination()
+    assert batches == [list(range(95 - low)), [], list(range(95 - low, 100))]
+    assert max(parts) > 5  # one file holds a tenth, not a part
+
+
 def test_stream_equals_bulk_load(spark):
     folder, table, checkpoint = (scratch_dir(spark, n) for n in ("in", "table", "checkpoint"))
     _drop(spark, folder, FIRST + SECOND)
