@@ -99,3 +99,15 @@ def test_large_lists_are_split(spark, reports, vectors, index, path):
 def test_bounds(reports, index):
     with pytest.raises(ValueError):
         growing.merge_ivf(reports, index, "/nowhere", most_rows=0)
+
+
+def test_a_probe_of_every_list_names_no_list(monkeypatch, spark, reports, index, path):
+    def named(*_):
+        raise AssertionError("queries times lists")
+
+    monkeypatch.setattr(ann.IvfIndex, "probe", named)
+    stored, exact = growing.read_ivf(spark, path), _rows(knn.knn_join(_queries(reports), reports, K))
+    for limits in ({}, {"broadcast_queries": 0}):
+        assert len(exact) == N * K
+        got = ann.ivf_search(_queries(reports), stored.where("load = 0").unionByName(stored.where("load > 0")), index, K, index.lists, **limits)
+        assert _rows(got) == _rows(knn.knn_join(_queries(reports), stored.select("id", "embedding"), K))
