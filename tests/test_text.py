@@ -1,12 +1,14 @@
 import html
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from echofind.functions import display
+from echofind.functions import display, text
 from echofind.functions.embed import HashEmbedder, embed, embed_report
 from echofind.functions.text import Cleaner, clean_text, is_fractional, joined_text, na_to_null, numeric_id
 
@@ -126,3 +128,43 @@ def test_status_classes(spark):
     wanted = {"UNRESOLVED": "open", "New": "open", "reopened": "open", "RESOLVED": "resolved", "Closed": "resolved", "DUPLICATE": "neutral"}
     rows = spark.createDataFrame([(s,) for s in wanted], "s string")
     assert {r[0]: r[1] for r in rows.select("s", display.status_class(F.col("s"))).collect()} == wanted
+
+
+def test_few_texts_of_a_batch_are_objects_at_once(monkeypatch):
+    sizes, listed = [], pa.Array.to_pylist
+
+    class Watched:
+        def __init__(self, column):
+            self.column = column
+
+        def __len__(self):
+            return len(self.column)
+
+        def slice(self, at, most):
+            return Watched(self.column.slice(at, most))
+
+        def to_pylist(self):
+            sizes.append(len(self.column))
+            return listed(self.column)
+
+    def run(make, texts):
+        made = {}
+
+        class Kept:
+            asNondeterministic = lambda self: self
+            __call__ = lambda self, column: column
+
+        monkeypatch.setattr(F, "arrow_udf", lambda _: lambda f: made.setdefault("f", f) and Kept())
+        make()
+        monkeypatch.undo()
+        return made["f"](Watched(pa.array(texts, pa.string()))).to_pylist()
+
+    texts = [None if i % 7 == 0 else f"<b>word{i}</b> &amp; more" for i in range(1000)]
+    cleaned = run(lambda: text.clean_text("t"), texts)
+    assert cleaned == [None if t is None else text.Cleaner()(t) for t in texts]
+    assert max(sizes) <= text.PART and sum(sizes) == 1000
+    sizes.clear()
+    vectors = run(lambda: embed("t", HashEmbedder(16), cleaner=text.Cleaner()), texts)
+    assert np.array_equal(vectors, HashEmbedder(16).encode([text.Cleaner()(t or "") for t in texts]))
+    assert max(sizes) <= 32 and sum(sizes) == 1000
+    assert run(lambda: text.clean_text("t"), []) == [] == run(lambda: embed("t", HashEmbedder(16)), [])
