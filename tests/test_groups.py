@@ -81,3 +81,28 @@ def test_arguments_and_empty_tables(spark):
     assert sorted(map(tuple, groups.duplicate_groups(zeros).collect())) == [(1, 1, 0), (2, 2, 0)]
     with pytest.raises(ValueError):
         groups.duplicate_groups(zeros, 0)
+
+
+@pytest.mark.parametrize("least, tile, pairs, kind", [(0.9, 1024, 1 << 14, "float"), (0.5, 16, 5, "double"), (0.97, 7, 3, "float"), (1.0, 32, 8, "double")])
+def test_stripes_equal_brute_force(spark, monkeypatch, rows, least, tile, pairs, kind):
+    monkeypatch.setattr(groups, "TILE", tile)
+    monkeypatch.setattr(groups, "PAIRS", pairs)
+    monkeypatch.setattr(groups, "_few_copies", lambda *_: False)
+    table = spark.createDataFrame(rows, f"id bigint, embedding array<{kind}>").repartition(3)
+    found = {r.id: (r.group_id, r.links) for r in groups.duplicate_groups(table, least).collect()}
+    assert found == brute(rows, least)
+
+
+def test_a_vector_is_sent_once_per_stripe_at_most(spark):
+    """Vectors without clusters: the triangle inequality rules out nothing."""
+    rng = np.random.default_rng(4)
+    vectors = [(i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 16)))]
+    members = spark.createDataFrame(vectors, "node bigint, copies bigint, embedding array<double>")
+    index = groups.ann.train_ivf(members.select(members.node.alias("id"), "embedding"), 60, iterations=1)
+    placed, limit = groups._placed(members, index), float(np.arccos(0.5))
+    stripes = groups._stripes(members, 600, 16)
+    assert groups._dealt(groups._visits(placed, index, limit)).count() > 600 * stripes
+    assert not groups._few_copies(placed, index, limit, 600 * stripes)
+    dealt = groups._dealt(groups._visits(placed, index, 0.0))
+    assert groups._few_copies(placed, index, 0.0, dealt.count())
+    assert not groups._few_copies(placed, index, 0.0, dealt.count() - 1)
