@@ -216,3 +216,48 @@ def test_graph_of_nothing(spark):
     nothing = graph.build_graph(spark.createDataFrame([(1, [0.0, 0.0])], "id bigint, embedding array<float>"), 4, 1)
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<float>")
     assert graph.graph_search(asked, nothing, 3).count() == 0
+
+
+def plain_walk(index, vector, k, ef, rounds, exclude):
+    """The walk with sets and lists: ids of the best k."""
+    nodes, edges, members = index
+    unit = vector / np.linalg.norm(vector)
+    units = {n: int(np.rint(np.clip(1 - unit @ v / np.linalg.norm(v), 0, 2) * 1e9)) for n, (_, v) in nodes.items()}
+    met, opened = {n for n, (place, _) in nodes.items() if place < graph.ENTRIES}, set()
+    for _ in range(rounds):
+        fresh = [n for n in sorted(met, key=lambda n: (units[n], n))[:ef] if n not in opened]
+        opened.update(fresh)
+        met.update(u for n in fresh for u in edges[n])
+    best = sorted(met, key=lambda n: (units[n], n))[: k + 1]
+    return [i for _, i in sorted((units[n], i) for n in best for i in members[n] if i != exclude)[:k]]
+
+
+@pytest.mark.parametrize("ef, stripe, pairs", [(5, None, None), (12, 2000, 50)])
+def test_walk_equals_plain_walk_and_keeps_the_best_only(monkeypatch, vectors, queries, walks, ef, stripe, pairs):
+    if stripe:
+        monkeypatch.setattr(graph, "STRIPE_BYTES", stripe)
+        monkeypatch.setattr(graph, "QUERIES", 7)
+        monkeypatch.setattr(graph, "PAIRS", pairs)
+    kept, write = [], graph.materialize
+
+    def spied(df, name):
+        table = write(df, name)
+        if name == "walk":
+            kept.append(table.groupBy("query_id").count().agg(F.max("count")).first()[0])
+        return table
+
+    monkeypatch.setattr(graph, "materialize", spied)
+    asked = queries.where("query_id <> 7 AND query_id % 5 = 0").drop("product")
+    found = {}
+    for r in graph.graph_search(asked, walks, K, ef, rounds=3).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.id)
+    assert len(kept) == 3 and max(kept) <= max(ef, K + 1)  # not all that a walk has met
+    nodes = {r.node: (r.place, np.array(r.embedding, float)) for r in walks.nodes.collect()}
+    edges, members = {n: [] for n in nodes}, {n: [] for n in nodes}
+    for r in walks.edges.collect():
+        edges[r.v].append(r.u)
+    for r in walks.members.collect():
+        members[r.node].append(r.id)
+    for query in found:
+        assert found[query] == plain_walk((nodes, edges, members), vectors[query], K, ef, 3, query)
+    assert len(found) == asked.count()
