@@ -33,6 +33,8 @@ from echofind.session import materialize
 
 #: Vectors in one chunk of a label; a block compares two chunks.
 CHUNK = 1024
+#: Pairs whose collisions are counted at a time.
+TILE = 1 << 17
 
 
 def calibrate(threshold: float, directions: int, recall: float, width: float = 2.5) -> tuple[float, int]:
@@ -69,28 +71,60 @@ def _unit(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def collision_links(rows: pa.RecordBatch, threshold: float, directions: int, recall: float) -> np.ndarray:
-    """Which vectors of a block have at least the threshold's cosine."""
+    """Which vectors of a block have at least the threshold's cosine.
+
+    Of a block of two chunks only pairs across them are looked at, the others have
+    their own blocks. Along a direction, vectors stand at their places in order, and
+    a window is a range of places, so a collision is one comparison of small numbers;
+    counts are made for a few rows at a time.
+    """
     vectors = [np.frombuffer(v.as_buffer(), np.float64) for v in rows.column(rows.schema.get_field_index("vector"))]
     x = np.stack(vectors)
     window, need = calibrate(threshold, directions, recall)
     lines = np.random.default_rng(97).standard_normal((x.shape[1], directions))
     n = len(x)
-    count = np.zeros((n, n), np.uint8 if directions < 256 else np.uint16)
-    place = np.empty(n, np.int32)
-    for along in (x @ lines).T:
+    small = np.uint16 if n <= np.iinfo(np.uint16).max else np.uint32
+    place, low, wide = (np.empty((directions, n), small) for _ in range(3))
+    for d, along in enumerate((x @ lines).T):
         order = np.argsort(along, kind="stable")
-        place[order] = np.arange(n)
-        low = np.searchsorted(along, along - window, "left", sorter=order)
-        high = np.searchsorted(along, along + window, "right", sorter=order)
-        count += (place >= low[:, None]) & (place < high[:, None])
-    a, b = np.nonzero(np.triu(count >= need, 1))
+        ordered = along[order]
+        place[d, order] = np.arange(n)
+        low[d] = np.searchsorted(ordered, along - window, "left")
+        wide[d] = np.searchsorted(ordered, along + window, "right") - low[d]
     linked = np.zeros((n, n), bool)
-    for start in range(0, len(a), 1 << 16):
-        p, q = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
-        linked[p, q] = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+    left, every = _sides(rows)
+    if len(every):
+        step = max(1, TILE // len(every))
+        for start in range(0, len(left), step):
+            some = left[start : start + step]
+            right = every[start:] if left is every else every  # a pair within a chunk is looked at once
+            columns = place[:, right]
+            count = np.zeros((len(some), len(right)), np.uint8 if directions < 256 else np.uint16)
+            apart, hit = np.empty(count.shape, small), np.empty(count.shape, bool)
+            for d in range(directions):
+                np.subtract(columns[d], low[d, some, None], out=apart)  # below the window it wraps around
+                np.less(apart, wide[d, some, None], out=hit)
+                np.add(count, hit, out=count)
+            a, b = np.nonzero(count >= need)
+            a, b = some[a], right[b]
+            a, b = a[a != b], b[a != b]
+            for at in range(0, len(a), 1 << 16):
+                p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                p, q = np.minimum(p, q), np.maximum(p, q)
+                linked[p, q] |= np.einsum("ij,ij->i", x[p], x[q]) >= threshold
     return linked | linked.T
 
 
+def _sides(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a block that are compared: those of one chunk with those of the other."""
+    names = rows.schema.names
+    if "same" not in names or rows.column(names.index("same"))[0].as_py():
+        every = np.arange(rows.num_rows)
+        return every, every
+    chunk = np.asarray(rows.column(names.index("chunk")))
+    return np.flatnonzero(chunk == chunk[0]), np.flatnonzero(chunk != chunk[0])
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, directions: int = 48, recall: float = 0.999999
 ) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from echofind.llm import near_vectors
 from echofind.llm.near_vectors import calibrate
@@ -47,3 +49,18 @@ def test_edges(spark):
     wanted = [(1, 3, 1, True), (1, 3, 1, True), (11, 3, 1, False), (None, 3, 1, False), *alone]
     assert got == sorted(wanted, key=str)
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1, 50, 1 << 17])
+@pytest.mark.parametrize("same", [True, False])
+def test_a_block_compares_pairs_across_its_chunks_only(monkeypatch, same, tile):
+    monkeypatch.setattr(near_vectors, "TILE", tile)
+    r = np.random.default_rng(8)
+    x = np.repeat(r.normal(size=(6, 12)), 10, axis=0) + r.normal(size=(60, 12)) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    chunk = np.zeros(60, int) if same else np.arange(60) % 2
+    rows = pa.record_batch([pa.array([v.tobytes() for v in x]), pa.array(chunk), pa.array([same] * 60)], ["vector", "chunk", "same"])
+    wanted = x @ x.T >= 0.93
+    wanted &= ~np.eye(60, dtype=bool) if same else chunk[:, None] != chunk[None, :]
+    linked = near_vectors.collision_links(rows, 0.93, 48, 0.999999)
+    assert wanted.sum() > 100 and (linked == wanted).all()
