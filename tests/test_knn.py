@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echofind.operators import ann, evaluate, knn, pairs
+from echofind.operators import ann, evaluate, knn, pairs, scoring
 from echofind.plans import search
 from echofind.session import scratch_dir
 
@@ -236,3 +236,42 @@ def test_pairs(data, reports, index):
             wanted[(min(q, r), max(q, r))] = s
     assert got == wanted and all(a < b for a, b in got)
     assert {(r.id_a, r.id_b) for r in pairs.duplicate_pairs(reports, 3, 0.99, index, probes=1).collect()} == set(wanted)
+
+
+@pytest.mark.parametrize("form", [{}, CELLS, {"keyed": True}, {"keyed": True, **CELLS}])
+def test_a_least_cosine_leaves_the_nearest_that_reach_it(queries, reports, form):
+    form = dict(form)
+    if form.pop("keyed", False):
+        queries, reports = (df.withColumn("keys", F.array(F.lit(1).cast("bigint"))) for df in (queries, reports))
+    found = knn.knn_join(queries, reports, K, ("product",), least=0.4, **form)
+    every = knn.knn_join(queries, reports, K, ("product",), **form)
+    near = every.filter(~F.isnan("distance") & (F.col("distance") <= 0.6))
+    assert 0 < near.count() < every.count()
+    assert ranks(found) == ranks(near)
+
+
+def test_tiles_of_any_size_find_the_same(monkeypatch, queries, reports):
+    found = ranks(knn.knn_join(queries, reports, K, ("product",), least=-0.5))
+    block = scoring.QueryBlock.of(queries.toArrow(), ("product",))
+    for tall, wide in ((7, 11), (200, 3), (1, 200)):
+        monkeypatch.setattr(scoring, "_TALL", tall)
+        monkeypatch.setattr(scoring, "_WIDE", wide)
+        best = scoring.TopK(len(block.ids), K, -0.5)
+        scoring.score(block, scoring.ReportBlock(reports.toArrow(), K, ("product",)), best)
+        row, place = np.nonzero(best.units != scoring.EMPTY)
+        assert {(int(block.ids[r]), int(p) + 1, int(best.ids[r, p])) for r, p in zip(row, place)} == found
+
+
+def test_pairs_of_one_key_are_shared_by_many_tasks(monkeypatch, queries, reports):
+    monkeypatch.setattr(knn, "LEAST_CELL_ROWS", 8)
+    queries, reports = (df.withColumn("keys", F.array(F.lit(1).cast("bigint"))) for df in (queries, reports))
+    hits = knn._cell_hits(queries, reports, K, (), knn.CELL_ROWS, None)
+    assert hits.select(F.spark_partition_id()).distinct().count() >= queries.sparkSession.sparkContext.defaultParallelism
+    assert ranks(knn.rank_hits(hits, K)) == ranks(knn.knn_join(queries.drop("keys"), reports.drop("keys"), K))
+
+
+def test_duplicate_pairs_judge_similarities_as_rounded(spark):
+    angles = [0.0, math.acos(0.899996), math.acos(0.89999) + 3.0]
+    rows = [(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)]
+    made = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    assert [tuple(r) for r in pairs.duplicate_pairs(made, 2, 0.9).collect()] == [(0, 1, 0.9)]
