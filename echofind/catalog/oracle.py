@@ -176,6 +176,28 @@ def _walk(name: str, ef: int, rounds: int = 4, entries: int = 32, k: int = 10) -
     return sql + f", {name} AS MATERIALIZED {_top(hits, k)}"
 
 
+def _whole_walk(name: str, ef: int = 80, entries: int = 32, k: int = 10) -> str:
+    """The same without a bound on rounds: a query walks on until its ``ef`` best are open."""
+    hits = f"""SELECT s.query_id, r.id, s.d FROM {name}_end s JOIN graph_nodes n ON n.id = s.node JOIN vectors r ON r.v = n.v WHERE r.id <> s.query_id"""
+    return f"""
+{name}_rounds(round, query_id, node, d, opened) AS (
+  SELECT 0, q.id, n.id, {_dist('q.v', 'n.v')}, false FROM vectors q, graph_nodes n WHERE n.place < {entries}
+  UNION ALL (
+  WITH near AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node) <= {ef} AS near FROM {name}_rounds),
+  going AS (
+    SELECT DISTINCT query_id FROM near WHERE near AND NOT opened),
+  new AS (
+    SELECT DISTINCT f.round, f.query_id, g.u AS node FROM near f JOIN graph g ON g.v = f.node WHERE f.near AND NOT f.opened)
+  SELECT round + 1, query_id, node, d, opened OR near FROM near SEMI JOIN going USING (query_id) UNION ALL
+  SELECT w.round + 1, w.query_id, w.node, {_dist('q.v', 'n.v')}, false FROM new w
+  JOIN vectors q ON q.id = w.query_id JOIN graph_nodes n ON n.id = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM near o WHERE o.query_id = w.query_id AND o.node = w.node))),
+{name}_end AS (
+  SELECT query_id, node, d FROM (SELECT *, max(round) OVER (PARTITION BY query_id) AS last FROM {name}_rounds) WHERE round = last),
+{name} AS MATERIALIZED {_top(hits, k)}"""
+
+
 def _top(pairs: str, k: int) -> str:
     """Rank (query_id, id, d) rows."""
     return f"""(SELECT query_id, rank, id, d FROM (
@@ -340,7 +362,7 @@ SELECT id % 2 AS load, list_id, count(*) AS reports, round(avg(d), 5) AS mean_di
     "ivf_tree_assign": f"WITH {VECTORS}, {_tree('vectors')} SELECT id, list_id, leaf FROM in_leaf",
     "ivf_tree_search": f"WITH {VECTORS}, {_tree('vectors')} {RANKED}{_top(TREE_PAIRS, 10)}",
     "graph_edges": f"WITH {VECTORS}, {_graph()} SELECT v, u FROM graph",
-    "graph_search": f"WITH {VECTORS}, {_graph()}, {_walk('walk', 20)} {RANKED}walk",
+    "graph_search": f"WITH RECURSIVE {VECTORS}, {_graph()}, {_whole_walk('walk')} {RANKED}walk",
     "recall_graph": " UNION ALL ".join(
         f"SELECT * FROM ({_compared(_graph() + ',' + _walk('actual', ef), None)}{TRUE_RECALL.replace('SELECT ', f'SELECT {ef}::BIGINT AS ef, ', 1)})"
         for ef in (40, 80)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echofind.catalog import queries as catalog
 from echofind.operators import ann, evaluate, filtered, graph, knn, tree
 from echofind.plans import search
 from echofind.session import scratch_dir
@@ -261,3 +262,26 @@ def test_walk_equals_plain_walk_and_keeps_the_best_only(monkeypatch, vectors, qu
     for query in found:
         assert found[query] == plain_walk((nodes, edges, members), vectors[query], K, ef, 3, query)
     assert len(found) == asked.count()
+
+
+def test_registered_walk_goes_on_to_its_end(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=64).astype(np.float32) for i in range(1500)}
+    made = [(i, v.tolist(), i % 10) for i, v in vectors.items()]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in catalog.graph_search(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.id)
+    reports = spark.read.parquet(f"{tmp_path}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    built = graph.build_graph(reports, catalog.DEGREE, rounds=2)
+    nodes = {r.node: (r.place, np.array(r.embedding, float)) for r in built.nodes.collect()}
+    edges = {n: [] for n in nodes}
+    for r in built.edges.collect():
+        edges[r.v].append(r.u)
+    members, walked = {n: [n] for n in nodes}, 0
+    for query in range(0, 1500, 30):
+        asked = (nodes, edges, members), vectors[query].astype(float), 10, graph.EF
+        whole = plain_walk(*asked, 60, query)
+        assert found[query] == whole
+        walked += whole != plain_walk(*asked, 4, query)
+    assert walked and len(found) == 1500  # four rounds are not enough
