@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from echofind.operators import components, groups
+from echofind.operators import blocks, components, groups
 
 
 def plain_groups(nodes, edges):
@@ -106,3 +108,33 @@ def test_a_vector_is_sent_once_per_stripe_at_most(spark):
     dealt = groups._dealt(groups._visits(placed, index, 0.0))
     assert groups._few_copies(placed, index, 0.0, dealt.count())
     assert not groups._few_copies(placed, index, 0.0, dealt.count() - 1)
+
+
+@pytest.mark.parametrize("key, held", [(None, 1 << 20), ("key", 1 << 20), ("key", 500)])
+def test_every_two_blocks_meet_and_a_row_is_in_one(spark, monkeypatch, key, held):
+    monkeypatch.setattr(blocks, "HELD_BYTES", held)
+    monkeypatch.setattr(blocks, "PART_BYTES", 4_000)
+    rows = [(i, i * i % 4, [float(i)] * 5) for i in range(150)]
+    table = spark.createDataFrame(rows, "id bigint, key bigint, embedding array<float>").repartition(3)
+    stored = blocks.packed(table, 9, key)
+    packed = {r.block: (r.key, pa.ipc.open_stream(bytes(r.data)).read_all().to_pylist()) for r in stored.collect()}
+    assert sorted((r["id"], r["key"], r["embedding"]) for _, part in packed.values() for r in part) == rows
+    assert all(len(part) <= 9 and (key is None or {r["key"] for r in part} == {k}) for k, part in packed.values())
+    met = [(r.a, r.b) for r in blocks.meetings(stored, stored, F.expr("a <= b AND a_key = b_key"), 3).collect()]
+    assert sorted(met) == sorted((a, b) for a in packed for b in packed if a <= b and packed[a][0] == packed[b][0])
+
+
+def test_meetings_copy_no_vector_and_fold_what_they_find(spark, monkeypatch, rows):
+    monkeypatch.setattr(groups, "FOUND", 10)
+    monkeypatch.setattr(groups, "_few_copies", lambda *_: False)
+    seen, striped = [], groups._striped_links
+
+    def spied(*args):
+        links = striped(*args)
+        seen.append(links._jdf.queryExecution().toString())
+        return links
+
+    monkeypatch.setattr(groups, "_striped_links", spied)
+    table = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(3)
+    assert {r.id: (r.group_id, r.links) for r in groups.duplicate_groups(table, 0.9).collect()} == brute(rows, 0.9)
+    assert "Generate" not in seen[0] and "CartesianProduct" in seen[0]  # vectors were exploded to all stripes
