@@ -270,6 +270,18 @@ def test_pairs_of_one_key_are_shared_by_many_tasks(monkeypatch, queries, reports
     assert ranks(knn.rank_hits(hits, K)) == ranks(knn.knn_join(queries.drop("keys"), reports.drop("keys"), K))
 
 
+def test_large_keys_meet_in_blocks_and_small_ones_in_cells(monkeypatch, queries, reports):
+    monkeypatch.setattr(knn, "LEAST_CELL_ROWS", 8)
+    monkeypatch.setattr(knn, "KEPT_BYTES", 500)
+
+    few, many = F.floor(F.col("embedding")[0] * 4), 500 + (F.col("embedding")[1] > 0).cast("bigint")
+    queries, reports = (df.withColumn("keys", F.array(few.cast("bigint"), many)) for df in (queries, reports))
+    hits = knn._cell_hits(queries, reports, K, ("product",), 20, None)
+    plan = hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "sequence(" not in plan  # no row is copied to chunks
+    assert ranks(knn.rank_hits(hits, K)) == ranks(knn.knn_join(queries, reports, K, ("product",)))
+
+
 def test_duplicate_pairs_judge_similarities_as_rounded(spark):
     angles = [0.0, math.acos(0.899996), math.acos(0.89999) + 3.0]
     rows = [(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)]
