@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from echofind.operators import blocks, components, groups
 
@@ -120,8 +119,17 @@ def test_every_two_blocks_meet_and_a_row_is_in_one(spark, monkeypatch, key, held
     packed = {r.block: (r.key, pa.ipc.open_stream(bytes(r.data)).read_all().to_pylist()) for r in stored.collect()}
     assert sorted((r["id"], r["key"], r["embedding"]) for _, part in packed.values() for r in part) == rows
     assert all(len(part) <= 9 and (key is None or {r["key"] for r in part} == {k}) for k, part in packed.values())
-    met = [(r.a, r.b) for r in blocks.meetings(stored, stored, F.expr("a <= b AND a_key = b_key"), 3).collect()]
-    assert sorted(met) == sorted((a, b) for a in packed for b in packed if a <= b and packed[a][0] == packed[b][0])
+
+    def pairs(batches):
+        for a, a_key, mine, others in blocks.met(batches):
+            firsts = [blocks.unpack(data)["id"][0].as_py() for _, _, data in others]
+            columns = [[a] * len(others), [a_key] * len(others), [blocks.unpack(mine)["id"][0].as_py()] * len(others)]
+            columns = [*columns, [b for b, _, _ in others], [k for _, k, _ in others], firsts]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a", "j", "x", "b", "k", "y"])
+
+    made = blocks.meetings(stored, stored, 3).mapInArrow(pairs, "a bigint, j bigint, x bigint, b bigint, k bigint, y bigint")
+    wanted = {b: (b, k, part[0]["id"]) for b, (k, part) in packed.items()}
+    assert sorted(map(tuple, made.collect())) == sorted(wanted[a] + wanted[b] for a in packed for b in packed)
 
 
 def test_meetings_copy_no_vector_and_fold_what_they_find(spark, monkeypatch, rows):
